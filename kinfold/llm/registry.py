@@ -1,6 +1,13 @@
 """Queries and SQL of the training-data operators."""
 
-from kinfold.llm import minhash
+from kinfold.llm import minhash, pieces, quality, suffixes, toxicity, warc
 
-QUERIES = {"op2_minhash_near_dedup": minhash.op2_minhash_near_dedup}
-ORACLES = {"op2_minhash_near_dedup": minhash.OP2_SQL}
+QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_warc": warc.op10_warc,
+}
+ORACLES = {"op2_minhash_near_dedup": minhash.OP2_SQL, "op5_quality_rules": quality.OP5_SQL, "op10_warc": warc.OP10_SQL}
