@@ -38,7 +38,7 @@ RULES = (
     Rule("mean_word_length", "word_chars / n_words", 2.5, 14),
     Rule("symbols", "n_symbols / n_words", None, 0.10),
     Rule("stop_words", "n_stop_words", 2, None),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.30),
+    Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.50),
     Rule("bullet_lines", "n_bullet_lines / n_lines", None, 0.90),
     Rule("ellipsis_lines", "n_ellipsis_lines / n_lines", None, 0.30),
 )
@@ -131,7 +131,7 @@ b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and n_words <= 100000 and word_chars::double / greatest(n_words, 1) between 2.5 and 14
   and n_symbols::double / greatest(n_words, 1) <= 0.1 and n_stop_words >= 2
-  and n_dup_lines::double / greatest(n_lines, 1) <= 0.3 and n_bullet_lines::double / greatest(n_lines, 1) <= 0.9
+  and n_dup_lines::double / greatest(n_lines, 1) <= 0.5 and n_bullet_lines::double / greatest(n_lines, 1) <= 0.9
   and n_ellipsis_lines::double / greatest(n_lines, 1) <= 0.3 as kept,
   n_stop_words, n_lines, n_bullet_lines, n_ellipsis_lines
 from b

@@ -18,14 +18,14 @@ from kinfold.llm.common import blob, cut, slices, stored, table
 
 #: At most so many labelled rows are learnt from (those with the smallest hash), and so many terms kept.
 SAMPLE_ROWS, MAX_TERMS = 12_000, 200
-#: Texts with a term in toxic rows at least, and how many times likelier it is there.
-MIN_TEXTS, MIN_ODDS = 5, 20.0
+#: Toxic texts that have a term at least, how many times likelier it is there, and words that share a stem.
+MIN_TEXTS, MIN_ODDS, MIN_KINDS = 5, 20.0, 3
 #: Stems are prefixes of these lengths; terms from FUZZY letters on may have one letter wrong.
-STEMS, FUZZY = (4, 5, 6), 5
+STEMS, FUZZY = (4, 5, 6, 7, 8), 5
 #: Words on either side of a term that make up its context.
 CONTEXT = 5
 THRESHOLD = 0.3
-REPORTING = "said says wrote called calls quote quoted word term phrase dit mot terme appele sagte wort zitat nannte dijo palabra termino llamo".split()
+REPORTING = "said says wrote called calls quote quoted word term phrase dit mot terme appelé sagte wort zitat nannte dijo palabra término llamó".split()
 ADDRESSING = "you your youre u tu toi vous ton du dich dein euch ihr te ti usted vosotros".split()
 QUOTES = "\"“”„«»‘’‹›"
 _FOLD = 0x2000
@@ -33,11 +33,12 @@ _FOLD = 0x2000
 
 @lru_cache(maxsize=1)
 def fold_table() -> np.ndarray:
-    """Code points below _FOLD to the lower-case base letter, 0 for what is not a letter; 1 for letters above."""
+    """Code points below _FOLD to the lower-case letter, 0 for what is not a letter; 1 for letters above. Accents
+    stay: a term and an innocent word may differ in nothing else."""
     out = np.zeros(_FOLD + 1, np.uint32)
     for c in range(_FOLD):
-        s = unicodedata.normalize("NFD", chr(c).lower())[:1]
-        if unicodedata.category(chr(c))[0] in "LM" and s:
+        s = chr(c).lower()[:1]
+        if unicodedata.category(chr(c))[0] in "LM" and ord(s) < _FOLD:
             out[c] = ord(s)
     out[_FOLD] = 1
     return out
@@ -207,19 +208,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, toxic texts, other texts) of each batch of (text, toxic): words, and stems with a star."""
+    """(unit, toxic texts, other texts, toxic words of a stem) of each batch of (text, toxic): words, and stems with a star."""
     for batch in batches:
         chars, bounds = blob(batch.column(0))
         label = batch.column(1).to_numpy(zero_copy_only=False)
         counts: tuple[Counter, Counter] = Counter(), Counter()
+        kinds: dict[str, set[str]] = {}
         for i, j in slices(bounds):
             t = tokens(*cut(chars, bounds, i, j))
             for d in range(j - i):
                 found = {t.word(k) for k in range(t.at[d], t.at[d + 1])}
                 units = {w for w in found if 3 < len(w) < 25} | {w[:n] + "*" for w in found for n in STEMS if len(w) > n}
                 counts[int(label[i + d])].update(units)
+                if label[i + d]:
+                    for w in found:
+                        for n in STEMS:
+                            if len(w) > n:
+                                kinds.setdefault(w[:n] + "*", set()).add(w)
         units = list(counts[1].keys() | counts[0].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array([counts[1][u] for u in units], pa.int64()), pa.array([counts[0][u] for u in units], pa.int64())], ["unit", "pos", "neg"])
+        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array([counts[1][u] for u in units], pa.int64()), pa.array([counts[0][u] for u in units], pa.int64()), pa.array([len(kinds.get(u, ())) for u in units], pa.int64())], ["unit", "pos", "neg", "kinds"])
 
 
 def _rows(auto: Automaton):
@@ -257,7 +264,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: in
     known = stored(spark, known, "labelled")
     totals = {int(r["toxic"]): r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
-    units = known.mapInArrow(_units, "unit string, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    units = known.mapInArrow(_units, "unit string, pos long, neg long, kinds long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("kinds").alias("kinds"))
+    # a stem is one that several words share
+    units = units.where(~F.col("unit").endswith("*") | (F.col("kinds") >= MIN_KINDS))
     odds = ((F.col("pos") + 0.5) / (pos + 1)) / ((F.col("neg") + 0.5) / (neg + 1))
     found = units.where(F.col("pos") >= MIN_TEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc(F.log("odds") * F.sqrt("pos")), "unit").limit(MAX_TERMS).collect()
     chosen = {r["unit"] for r in found}
