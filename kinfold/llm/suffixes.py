@@ -283,6 +283,15 @@ def _lookup(length: int):
     return run
 
 
+def _without(text: np.ndarray, spans: list[int]) -> tuple[bytes, int, int]:
+    """(bytes outside the spans, bytes removed, maximal removed runs)."""
+    edge = np.zeros(len(text) + 1, np.int32)
+    np.add.at(edge, spans[0::2], 1)
+    np.add.at(edge, spans[1::2], -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    return text[~gone].tobytes(), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         chars, bounds = blob(batch.column(1))
@@ -291,16 +300,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in range(i, j):
                 text = chars[bounds[d] : bounds[d + 1]]
                 spans = batch.column(2)[d].as_py()
-                if not spans:
-                    n_removed.append(0), n_spans.append(0), kept.append(text.tobytes())
-                    continue
-                edge = np.zeros(len(text) + 1, np.int32)
-                np.add.at(edge, spans[0::2], 1)
-                np.add.at(edge, spans[1::2], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                n_removed.append(int(gone.sum()))
-                n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                kept.append(text[~gone].tobytes())
+                data, gone, runs = _without(text, spans) if spans else (text.tobytes(), 0, 0)
+                n_removed.append(gone)
+                n_spans.append(runs)
+                kept.append(data)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds[i : j + 1])), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["rid", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
@@ -357,6 +360,21 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     return joined.mapInArrow(_remove, "rid long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("rid", "doc_id")
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs, all columns, with repeats removed from their texts as remove_repeats() does. What is left of a character of
+    which only some bytes went goes too; a null text stays null."""
+
+    @F.pandas_udf("string")
+    def left(text, spans):
+        import pandas as pd
+
+        return pd.Series([t if s is None or t is None else _without(np.frombuffer(t.encode(), np.uint8), s)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)], dtype=object)
+
+    spans = repeated_spans(spark, docs, length).select(F.col("tkey").alias("_tkey"), F.col("spans").alias("_spans"))
+    joined = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(spans, F.col("_key") == F.col("_tkey"), "left")
+    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left("text", "_spans"))).drop("_key", "_tkey", "_spans")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
