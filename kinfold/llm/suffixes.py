@@ -15,7 +15,7 @@ from kinfold.llm.kernels import U, mix, powers, prefix_hash, span_hash
 #: Bytes of a string whose repeats go, and of the grams among which every such string's anchor is chosen.
 LENGTH, GRAM = 400, 16
 #: Bytes of contexts that one suffix array is made over, and contexts of one anchor value that a shard takes.
-SHARD_BYTES, SHARD_ROWS = 1_500_000, 1500
+SHARD_BYTES, SHARD_ROWS = 1_000_000, 1500
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -24,49 +24,71 @@ SHARD_BYTES, SHARD_ROWS = 1_500_000, 1500
 def pack8(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The first eight bytes of every suffix as a big-endian number; bytes past its string's end count as 0."""
     n = len(text)
-    out = np.zeros(n, U)
-    wide = np.concatenate((text, np.zeros(8, np.uint8)))
-    for k in range(8):
-        out |= np.where(left > k, wide[k : n + k], 0).astype(U) << U(56 - 8 * k)
+    out = np.zeros(n + 8, U)
+    out[:n] = text
+    for k in (1, 2, 4):  # from one byte to two, four and eight
+        out[: n + 8 - k] = out[: n + 8 - k] << U(8 * k) | out[k:]
+        out[n + 8 - k :] <<= U(8 * k)
+    out = out[:n]
+    near = np.flatnonzero(left < 8)
+    out[near] &= ~U(0) << (U(64) - U(8) * left[near].astype(U))
     return out
 
 
+def _sorted_by(high: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+    """Indices that sort by (high, low), both at most n. Where three numbers fit into a word, the words themselves are
+    sorted, which takes a fraction of an indirect sort's time."""
+    bits = max(1, int(n).bit_length())
+    if 3 * bits <= 64:
+        key = (high.astype(U) << U(2 * bits)) | (low.astype(U) << U(bits)) | np.arange(len(high), dtype=U)
+        key.sort()
+        return (key & ((U(1) << U(bits)) - U(1))).astype(np.int64)
+    return np.lexsort((low, high))
+
+
 def suffix_array(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order, packed first eight bytes) of many strings laid end to end; left[i] is the number of bytes
     from i to its string's end, where its suffix ends. Equal suffixes stand in order of place.
 
-    Larsson-Sadakane refinement: suffixes are sorted by their first eight bytes, then only groups that are still
-    tied are sorted again by the rank of the suffix h bytes on, for h = 8, 16, 32, ...
+    Larsson-Sadakane refinement: suffixes are sorted by their first five bytes, then only groups that are still
+    tied are sorted again by the rank of the suffix h bytes on, for h = 5, 10, 20, ...
     """
     n = len(text)
     words = pack8(text, left)
     # a short suffix goes before a longer one that agrees with it but for zero bytes
-    order = np.lexsort((np.minimum(left, 8), words)) if (text == 0).any() else np.argsort(words, kind="stable")
-    key = words[order]
-    short = np.minimum(left, 8)[order]
+    short = np.minimum(left, 5).astype(U)
+    if n < 1 << 21:
+        key = (words >> U(24) << U(24)) | (short << U(21)) | np.arange(n, dtype=U)
+        key.sort()
+        order = (key & U((1 << 21) - 1)).astype(np.int64)
+        key >>= U(21)
+    else:
+        key = words >> U(24) << U(3) | short
+        order = np.argsort(key)
+        key = key[order]
     new = np.ones(n, bool)
-    new[1:] = (key[1:] != key[:-1]) | (short[1:] != short[:-1])
+    new[1:] = key[1:] != key[:-1]
     rank = np.empty(n, np.int64)
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = head + 1
-    h, longest = 8, int(left.max(initial=0))
+    h, longest = 5, int(left.max(initial=0))
     tied = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(tied) and h < longest:
         at = order[tied]
-        ahead = np.where(left[at] > h, rank[np.minimum(at + h, n - 1)], 0)
-        key = (rank[at].astype(U) << U(32)) | ahead.astype(U)
-        by = np.argsort(key, kind="stable")
-        at, key = at[by], key[by]
+        high = rank[at]
+        low = np.where(left[at] > h, rank[np.minimum(at + h, n - 1)], 0)
+        by = _sorted_by(high, low, n)
+        at, high, low = at[by], high[by], low[by]
         order[tied] = at
         new = np.ones(len(at), bool)
-        new[1:] = key[1:] != key[:-1]
+        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
         head = np.maximum.accumulate(np.where(new, tied, 0))
         rank[at] = head + 1
         tied = tied[~(new & np.append(new[1:], True))]
         h *= 2
     if len(tied):
         at = order[tied]
-        order[tied] = at[np.lexsort((at, rank[at]))]
+        order[tied] = at[_sorted_by(rank[at], at, n)]
     return order, words
 
 
@@ -167,7 +189,7 @@ def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chars, bounds = blob(batch.column(1))
-            for i, j in slices(bounds):
+            for i, j in slices(bounds, 1_000_000):
                 doc, lo, hi, count, value, code = contexts(*cut(chars, bounds, i, j), length)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(value), pa.array(code), pa.array(lo), pa.array(hi), pa.array(count)], ["tkey", "fp", "code", "lo", "hi", "anchors"])
 
@@ -195,7 +217,7 @@ def _fetch(length: int):
     return run
 
 
-_SHARD = "fp long, code long, spans array<long>, salt int, salts int, part int, digests binary"
+_SHARD = "fp long, code long, spans array<long>, salt int, salts int, part int, data binary"
 
 
 def _spans(hit: np.ndarray, length: int) -> list[int]:
@@ -224,27 +246,40 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tupl
 
 
 def _shard(length: int):
-    """A suffix array over each lot; spans of each context, and digests of its distinct strings where other shards have
-    contexts with the same anchor value."""
+    """A suffix array over each lot; spans of each context, and where other shards have contexts with the same anchor value,
+    its bytes, and digests of the shard's distinct strings in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, SHARD_BYTES):
             bounds = np.concatenate(([0], np.cumsum([len(r[4]) for r in rows])))
             text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-            hit = repeated_starts(text, bounds, length)
-            out = [(r[0], r[1], _spans(hit[bounds[k] : bounds[k + 1]], length), r[2], r[3], None, None) for k, r in enumerate(rows)]
+            sizes = np.diff(bounds) - length + 1
+            owner = np.repeat(np.arange(len(rows)), sizes)
+            at = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner] + bounds[owner]
+            own = span_hash(prefix_hash(text), at, at + length)
+            # contexts none of whose strings' digests recurs need no suffix array
+            by = np.sort(own)
+            twice = by[1:][by[1:] == by[:-1]]
+            near = np.minimum(np.searchsorted(twice, own), max(len(twice) - 1, 0))
+            held = np.unique(owner[twice[near] == own]) if len(twice) else np.zeros(0, np.int64)
+            spans: dict[int, list[int]] = {}
+            if len(held):
+                parts = [rows[k][4] for k in held.tolist()]
+                cuts = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+                hit = repeated_starts(np.frombuffer(b"".join(parts), np.uint8), cuts, length)
+                spans = {k: _spans(hit[cuts[q] : cuts[q + 1]], length) for q, k in enumerate(held.tolist())}
+            out = [(r[0], r[1], spans.get(k, []), r[2], r[3], None, r[4] if r[3] > 1 else None) for k, r in enumerate(rows)]
             shared: dict[tuple, list[np.ndarray]] = {}
             if any(r[3] > 1 for r in rows):
-                p = prefix_hash(text)
+                first = np.concatenate(([0], np.cumsum(sizes)))
                 for k, r in enumerate(rows):
                     if r[3] > 1:
-                        at = np.arange(bounds[k], bounds[k + 1] - length + 1)
-                        shared.setdefault((r[0], r[2], r[3]), []).append(span_hash(p, at, at + length))
+                        shared.setdefault((r[0], r[2], r[3]), []).append(own[first[k] : first[k + 1]])
             for (fp, salt, salts), lists in shared.items():
                 digests = np.unique(np.concatenate(lists))
                 part = (digests >> U(33)).astype(np.int64) % salts
                 out += [(fp, None, None, salt, salts, int(q), digests[part == q].tobytes()) for q in range(salts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["fp", "code", "spans", "salt", "salts", "part", "digests"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["fp", "code", "spans", "salt", "salts", "part", "data"])
 
     return run
 
@@ -327,10 +362,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     shards = rows.repartition(partitions(spark), "fp", "salt").sortWithinPartitions("fp", "salt", "code")
     done = stored(spark, shards.mapInArrow(_shard(length), _SHARD), "shards")
     spans = done.where("code is not null").select("fp", "code", "spans")
-    lists = done.where("code is null").select("fp", "salt", "part", "digests")
+    lists = done.where("code is null").select("fp", "salt", "part", F.col("data").alias("digests"))
     if not lists.isEmpty():
         twice = lists.groupBy("fp", "part").applyInPandas(_merge, "fp long, salt int, digests binary").groupBy("fp", "salt").agg(F.collect_list("digests").alias("digests"))
-        again = rows.where("salts > 1").join(twice, ["fp", "salt"]).select("fp", "code", "data", "digests")
+        again = done.where("code is not null and salts > 1").join(twice, ["fp", "salt"]).select("fp", "code", "data", "digests")
         spans = spans.unionByName(again.mapInArrow(_lookup(length), "fp long, code long, spans array<long>"))
     spans = spans.where(F.size("spans") > 0)
     place = live.select("tkey", "fp", "code", "lo", "hi").distinct()
