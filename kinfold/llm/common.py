@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel works on at a time; its scratch arrays take some 80 times as much.
 SLICE_BYTES = 2_000_000
@@ -95,7 +94,12 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def doc_key() -> "F.Column":
-    """What tells one document from another, for operators that compare rows of a table: rows equal in doc_id
-    and text are one document, so repeated rows aren't copies of each other; null ids and texts are values."""
-    return F.struct(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put in front until no column of df has them."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        out.append(n)
+    return out

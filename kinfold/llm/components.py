@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(low, "u")
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    out = out.where("u <> v")
+    return out if large else out.distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import blob, cut, slices, stored, table
+from kinfold.llm.common import blob, cut, fresh, slices, stored, table
 from kinfold.llm.kernels import U, mix, powers
 
 #: Shorter lines (in characters) are left alone: one edit changes what they say.
@@ -205,10 +205,11 @@ def _earlier_within_one(spark: SparkSession, docs: DataFrame, lines: DataFrame)
 
 def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the lines (doc_id, line_no) in gone; texts are joined again by newlines, null stays null."""
-    lists = gone.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line_no").alias("_gone"))  # no more than a document has lines
-    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("_all", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), "_gone"), lambda i: F.get("_all", i))
-    return joined.withColumn("text", F.when(F.col("_all").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("_d", "_gone", "_all")
+    key, drop, own = fresh(docs, "_doc", "_drop", "_own")
+    lists = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(drop))  # no more than a document has lines
+    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col(key)), "left").withColumn(own, F.when(F.col(drop).isNotNull(), F.split("text", "\n")))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), drop), lambda i: F.get(own, i))
+    return joined.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop(key, drop, own)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import blob, cut, partitions, slices, stored, table
+from kinfold.llm.common import blob, cut, fresh, partitions, slices, stored, table
 from kinfold.llm.kernels import U, mix, powers, prefix_hash, span_hash
 
 #: Bytes of a string whose repeats go, and of the grams among which every such string's anchor is chosen.
@@ -405,9 +405,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> D
 
         return pd.Series([t if s is None or t is None else _without(np.frombuffer(t.encode(), np.uint8), s)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)], dtype=object)
 
-    spans = repeated_spans(spark, docs, length).select(F.col("tkey").alias("_tkey"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(spans, F.col("_key") == F.col("_tkey"), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left("text", "_spans"))).drop("_key", "_tkey", "_spans")
+    key, own, at = fresh(docs, "_text_key", "_own_key", "_spans")
+    spans = repeated_spans(spark, docs, length).select(F.col("tkey").alias(key), F.col("spans").alias(at))
+    joined = docs.withColumn(own, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(spans, F.col(own) == F.col(key), "left")
+    return joined.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(left("text", at))).drop(key, own, at)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
