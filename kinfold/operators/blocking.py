@@ -87,7 +87,7 @@ def blocking_keys(records: DataFrame, families: tuple[int, ...] | None = None) -
 
 
 def _cap(caps: dict[int, int]) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("key_id")), F.lit(DEFAULT_CAP))
+    return F.coalesce(F.element_at(F.expr("map(" + ", ".join(f"{k}, {v}" for k, v in caps.items()) + ")"), F.col("key_id")), F.lit(DEFAULT_CAP))
 
 
 GROUP = ["key_id", "country", "key"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str, phonetic: bool = False) -> DataFrame:
-    return normalize(documents(spark, sf_dir), phonetic, roman=False)
+    """Normalised records. A query reads them several times (keys, frequencies, both sides of pairs), so they are kept, in
+    memory or on disk; a lost part is made again from its input."""
+    return normalize(documents(spark, sf_dir), phonetic, roman=False).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang"), F.md5(F.array_join(T.split_words(T.clean(F.col("text"))), " ").cast("binary")).alias("m"),
     )
     one = d.where("src = 1").select(F.col("eid").alias("s1_id"), "lang", "m")
-    return one.join(d.where("src > 1").select(F.col("eid").alias("s2_id"), "lang", "m"), ["lang", "m"]).select("s1_id", "s2_id")
+    return one.join(d.where("src > 1").select(F.col("eid").alias("s2_id"), "lang", "m"), ["lang", "m"]).select("s1_id", "s2_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def s1_of(r: DataFrame) -> DataFrame:
