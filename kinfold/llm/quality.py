@@ -89,7 +89,10 @@ def measure(docs: DataFrame) -> DataFrame:
     found = F.filter("s", lambda x, i: twin(x, F.get("s", i - 1)) | twin(x, F.get("s", i + 1)))
     d = d.withColumn("at", F.sort_array(F.transform(found, lambda x: x["i"]))).drop("s", "w")
     steps = F.transform("at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("at", i + 1) - x, F.lit(WINDOW))))
-    return d.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0), lambda a, b: a + b).cast("long")).drop("at")
+    # a term that isn't deterministic, and comes to nothing, keeps filters on the outcome from being pushed below, where each
+    # reference to a list would make it anew
+    total = F.aggregate(steps, F.spark_partition_id(), lambda a, b: a + b) - F.spark_partition_id()
+    return d.withColumn("n_repeat_words", total.cast("long")).drop("at")
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
