@@ -38,22 +38,22 @@ def standardize(pairs: DataFrame, names: tuple[str, ...], fitted_on: DataFrame |
 
 def fit_gbt(train: DataFrame, names: tuple[str, ...] = KEPT, iterations: int = 40, **params) -> PipelineModel:
     params = {k: v for k, v in params.items() if k != "ratio"}
-    gbt = GBTClassifier(labelCol="label", featuresCol="x", maxIter=iterations, seed=7, **({"maxDepth": 5} | params))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="x", handleInvalid="keep"), gbt]).fit(train)
+    gbt = GBTClassifier(labelCol="label", featuresCol="_features", maxIter=iterations, seed=7, **({"maxDepth": 5} | params))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="_features", handleInvalid="keep"), gbt]).fit(train)
 
 
 def score_gbt(model: PipelineModel, pairs: DataFrame, out: str = "p") -> DataFrame:
-    return model.transform(pairs).withColumn(out, vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+    return model.transform(pairs).withColumn(out, vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
 
 
 def fit_logistic(train: DataFrame, names: tuple[str, ...] = KEPT, l2: float = 0.0, iterations: int = 25) -> PipelineModel:
     """Iteratively reweighted least squares; unpenalised unless l2 is given."""
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="label", featuresCol="x", maxIter=iterations, regParam=l2, predictionCol="p_raw")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="x", handleInvalid="keep"), glr]).fit(train)
+    glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="label", featuresCol="_features", maxIter=iterations, regParam=l2, predictionCol="p_raw")
+    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="_features", handleInvalid="keep"), glr]).fit(train)
 
 
 def score_logistic(model: PipelineModel, pairs: DataFrame, out: str = "p") -> DataFrame:
-    return model.transform(pairs).withColumn(out, F.col("p_raw")).drop("x", "p_raw")
+    return model.transform(pairs).withColumn(out, F.col("p_raw")).drop("_features", "p_raw")
 
 
 def blend(pairs: DataFrame, columns: tuple[str, ...] = ("p_gbt", "p_lr"), out: str = "p") -> DataFrame:

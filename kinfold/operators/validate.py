@@ -70,7 +70,7 @@ def _read(spark: SparkSession, path: str) -> tuple[str | None, DataFrame | None,
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return None, None, [("error", "missing_file", 1, [path])]
     lines = spark.read.text(path)
-    if not lines.where(F.contains("value", F.lit("�"))).isEmpty():
+    if not lines.where(~F.is_valid_utf8("value")).isEmpty():
         return None, None, [("error", "not_utf8", 1, [path])]
     first = lines.first()
     header = first["value"] if first else None

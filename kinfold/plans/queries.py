@@ -530,7 +530,7 @@ def probe_fixed_centroids(spark, d):
 @query()
 def ivf_topk(spark, d):
     v = vectors(spark, d)
-    return ann.ivf_join(v.where("id % 100 = 0"), v, ann.build_ivf(v, 16, 8), 10, (4, 8)).select("q_id", "id", F.round("cos", 5).alias("cos"))
+    return ann.ivf_join(v.where("id % 100 = 0"), v, ann.build_ivf(v, 16, 8), 10, (12, 8)).select("q_id", "id", F.round("cos", 5).alias("cos"))
 
 
 @query()

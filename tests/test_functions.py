@@ -52,7 +52,7 @@ def test_romanize(word, want):
 
 def test_romanize_variants():
     assert romanize_text("प्राइवेट Ltd") == ("praivet Ltd", "praiwet Ltd")
-    assert romanize_text("శర్మ ಲಿಮಿಟೆಡ್ তাজ") == ("sharm limited taj", "sharm limited taj") or romanize_text("ಲಿಮಿಟೆಡ್")[0] == "limited"
+    assert romanize_text("ಲಿಮಿಟೆಡ್ తాజ్") == ("limited taj", "limited taj")
     assert romanize_text("") == ("", "")
 
 

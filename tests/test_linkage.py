@@ -90,8 +90,9 @@ def test_ivf_recall(spark):
     v = Q.vectors(spark, TOP)
     q = v.where("id % 25 = 0")
     exact = {(r["q_id"], r["id"]) for r in ann.exact_knn(q, v, 10).collect()}
-    found = {(r["q_id"], r["id"]) for r in ann.ivf_join(q, v, ann.build_ivf(v, 8, 4), 10, (4, 4)).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+    index = ann.build_ivf(v, 8, 4)
+    found = [{(r["q_id"], r["id"]) for r in ann.ivf_join(q, v, index, 10, p).collect()} for p in ((4, 4), (8, 4))]
+    assert len(exact & found[0]) >= 0.6 * len(exact) and found[1] == exact  # all leaves probed: exact
 
 
 def test_encoder(spark, tmp_path):
