@@ -35,8 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt out where a file of one row group would leave most cores idle; larger inputs stay as they are read."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.from_documents(table(spark, sf_dir, "documents"))
+    return src.from_documents(texts(spark, sf_dir))
 
 
 def entities(spark: SparkSession, sf_dir: str, phonetic: bool = False) -> DataFrame:
@@ -47,7 +54,7 @@ def entities(spark: SparkSession, sf_dir: str, phonetic: bool = False) -> DataFr
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of an S1 and an S2 or S3 document with equal cleaned text in one language."""
-    d = table(spark, sf_dir, "documents").select(
+    d = texts(spark, sf_dir).select(
         F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("eid"), (F.col("doc_id") % 3 + 1).alias("src"),
         F.col("lang"), F.md5(F.array_join(T.split_words(T.clean(F.col("text"))), " ").cast("binary")).alias("m"),
     )
