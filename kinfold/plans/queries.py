@@ -43,7 +43,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.from_documents(texts(spark, sf_dir))
+    return src.from_documents(texts(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def entities(spark: SparkSession, sf_dir: str, phonetic: bool = False) -> DataFrame:
