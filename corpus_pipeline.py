@@ -25,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line equals but for one edit go; every document stays, with what is left of it."""
-    return _documents(drop_lines(docs, repeated_lines(spark, docs)))
+    """Lines that an earlier line equals, or equals but for one edit, go; every document stays, with what is left of it."""
+    return _documents(drop_lines(docs, repeated_lines(spark, docs, short=True)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

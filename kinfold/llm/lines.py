@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import blob, cut, fresh, slices, stored, table
 from kinfold.llm.kernels import U, mix, powers
 
-#: Shorter lines (in characters) are left alone: one edit changes what they say.
+#: Shorter lines (in characters) have no near lines: one edit changes what they say.
 MIN_CHARS = 20
 _LINE = "k1 long, k2 long, doc_id long, line_no int, n_chars int, own array<long>, cross array<long>"
+#: Code points that are white space; the last one stands for all above.
+_WHITE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 _codes: list[np.ndarray] = []
 
 
@@ -65,23 +67,30 @@ def half_keys(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return own.view(np.int64), cross.view(np.int64)
 
 
-def _lists(rows: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+def _lists(rows: np.ndarray, at: np.ndarray) -> pa.Array:
+    """One list a place: a row where at holds, null elsewhere."""
+    offsets = np.concatenate(([0], np.cumsum(at))).astype(np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~at, False)), pa.array(rows.ravel()))
 
 
-def _scan(min_chars: int):
+def _scan(min_chars: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chars, bounds = blob(batch.column(1))
             for i, j in slices(bounds):
                 data, at = cut(chars, bounds, i, j)
                 raw, doc, number, start, end, b0, b1 = split_lines(data, at)
-                long = np.flatnonzero(end - start >= min_chars)
-                own, cross = half_keys(_prefix(raw), start[long], end[long])
+                counts = end - start >= min_chars
+                if short:  # lines that have more than white space
+                    filled = np.concatenate(([0], np.cumsum(~_WHITE[np.minimum(raw, len(_WHITE) - 1)])))
+                    counts |= filled[end] > filled[start]
+                long = np.flatnonzero(counts)
+                near = (end - start)[long] >= min_chars
+                own, cross = half_keys(_prefix(raw), start[long[near]], end[long[near]])
                 whole = data.tobytes()
                 names = np.frombuffer(b"".join(hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(b0[long].tolist(), b1[long].tolist())), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[:, 0]), pa.array(names[:, 1]), batch.column(0).slice(i, j - i).take(pa.array(doc[long])), pa.array(number[long].astype(np.int32)), pa.array((end - start)[long].astype(np.int32)), _lists(own), _lists(cross)],
+                    [pa.array(names[:, 0]), pa.array(names[:, 1]), batch.column(0).slice(i, j - i).take(pa.array(doc[long])), pa.array(number[long].astype(np.int32)), pa.array((end - start)[long].astype(np.int32)), _lists(own, near), _lists(cross, near)],
                     ["k1", "k2", "doc_id", "line_no", "n_chars", "own", "cross"],
                 )
 
@@ -146,12 +155,13 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _AT = "at struct<doc_id:long,line_no:int>"
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, edits): each line of docs(doc_id, text, ...) that an earlier line equals or,
     with max_edits 1, comes within one edit of (a character inserted, dropped or changed), and the earliest such line.
 
     Lines are what newlines separate, numbered from 0; order is by (doc_id, line_no). Lines under min_chars characters
-    are left alone. Whether a line goes doesn't depend on whether the earlier one does.
+    are left alone; with short they go where an earlier line equals them, unless they are blank, but have no near lines.
+    Whether a line goes doesn't depend on whether the earlier one does.
 
     1. Equal lines become one row with their earliest place.
     2. Half keys tell which distinct lines can have a partner at all; only these go on.
@@ -165,11 +175,11 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 1, min
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    lines = stored(spark, docs.select("doc_id", "text").mapInArrow(_scan(min_chars), _LINE), "lines")
+    lines = stored(spark, docs.select("doc_id", "text").mapInArrow(_scan(min_chars, short), _LINE), "lines")
     at = F.struct("doc_id", "line_no")
     kept = lines.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     if max_edits:
-        near = _earlier_within_one(spark, docs, lines)
+        near = _earlier_within_one(spark, docs, lines.where("own is not null"))
         kept = kept.join(near, ["k1", "k2"], "left")
     else:
         kept = kept.withColumn("near", F.lit(None).cast("struct<doc_id:long,line_no:int>"))
@@ -213,5 +223,5 @@ def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(spark, table(spark, sf_dir, "documents"))
+    return repeated_lines(spark, table(spark, sf_dir, "documents"), short=True)
 

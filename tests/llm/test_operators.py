@@ -150,6 +150,15 @@ def test_drop_lines_keeps_rows_and_columns(spark, docs, empty):
         lines.repeated_lines(spark, docs, 2)
 
 
+def test_short_lines_go_where_they_are_equal(spark, tmp_path):
+    rows = [(1, "Share this\n\nHome\n  \nabc"), (2, "abd\nShare this\n\n  \nHome "), (3, "Home\n\u3000\nabc\na line of twenty characters\n\u3000"), (4, "a line of twenty charakters\nHome"), (None, "abc"), (5, "\U00020000")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = lines.op3_line_dedup(spark, str(tmp_path))
+    want = {(1, 4, None, 0, 0), (2, 1, 1, 0, 0), (3, 0, 1, 2, 0), (3, 2, None, 0, 0), (4, 0, 3, 3, 1), (4, 1, 1, 2, 0)}
+    assert set(rows_of(got, "doc_id", "line_no", "kept_doc_id", "kept_line_no", "edits")) == want
+
+
 # ---------------------------------------------------------------- 4
 
 
