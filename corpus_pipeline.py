@@ -12,6 +12,8 @@ from kinfold.llm.packing import pack
 from kinfold.llm.suffixes import cut_repeats
 from kinfold.llm.toxicity import drop_toxic
 
+#: Passages of more than 50 words that stand anywhere else go.
+PASSAGE_WORDS = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -36,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages of 400 bytes that stand anywhere else too go; every document stays, with what is left of it."""
-    return _documents(cut_repeats(spark, docs))
+    """Bytes of passages of 400 bytes, and words of passages of over 50 words, that stand anywhere else too go; every document stays, with what is left of it."""
+    return _documents(cut_repeats(spark, docs, count=PASSAGE_WORDS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import blob, cut, fresh, partitions, slices, stored, table
-from kinfold.llm.kernels import U, mix, powers, prefix_hash, span_hash
+from kinfold.llm.kernels import U, mix, powers, prefix_hash, span_hash, words as word_bounds
 
 #: Bytes of a string whose repeats go, and of the grams among which every such string's anchor is chosen.
 LENGTH, GRAM = 400, 16
+#: Bytes that stand for a word where runs of words are compared.
+CODE = 4
 #: Bytes of contexts that one suffix array is made over, and contexts of one anchor value that a shard takes.
 SHARD_BYTES, SHARD_ROWS = 1_000_000, 1500
 
@@ -185,18 +187,26 @@ def contexts(chars: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tup
     return doc, lo - bounds[doc], hi - bounds[doc], count, value[at].view(np.int64), code.view(np.int64)
 
 
-def _contexts(length: int):
+def word_codes(chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every text's words as digests of CODE bytes, one after the other: bytes, bounds per text."""
+    start, end, first = word_bounds(chars, bounds)
+    code = (span_hash(prefix_hash(chars), start, end) >> U(32)).astype(np.uint32)
+    return code.view(np.uint8), first * CODE
+
+
+def _contexts(length: int, coded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chars, bounds = blob(batch.column(1))
             for i, j in slices(bounds, 1_000_000):
-                doc, lo, hi, count, value, code = contexts(*cut(chars, bounds, i, j), length)
+                data, at = cut(chars, bounds, i, j)
+                doc, lo, hi, count, value, code = contexts(*(word_codes(data, at) if coded else (data, at)), length)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(value), pa.array(code), pa.array(lo), pa.array(hi), pa.array(count)], ["tkey", "fp", "code", "lo", "hi", "anchors"])
 
     return run
 
 
-def _fetch(length: int):
+def _fetch(length: int, coded: bool):
     """(text, wanted) to (fp, code, salt, salts, data): the bytes of the contexts that are wanted of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +215,8 @@ def _fetch(length: int):
             size = 0
             for text, wanted in zip(batch.column(0), batch.column(1)):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                if coded:
+                    data = word_codes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tobytes()
                 for w in wanted.as_py():
                     for column, x in zip(out, (w["fp"], w["code"], w["salt"], w["salts"], data[w["lo"] : w["hi"] + length])):
                         column.append(x)
@@ -342,11 +354,34 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds[i : j + 1])), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["rid", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def repeated_runs(spark: SparkSession, docs: DataFrame, count: int) -> DataFrame:
+    """(tkey, runs): like repeated_spans(), but of runs of count words that also start elsewhere, whatever their bytes and
+    the white space between them; runs are in bytes of words' digests."""
+    return _repeated(spark, _texts(docs), count * CODE, True).withColumnRenamed("spans", "runs")
+
+
+def _bytes_of_runs(text: np.ndarray, runs: list[int], count: int) -> list[int]:
+    """Runs of digests' bytes as spans of the text's bytes. Words of which only some bytes of the digest are covered are outside."""
+    start, end, _ = word_bounds(text, np.array([0, len(text)]))
+    first, last = -(-np.array(runs[0::2], np.int64) // CODE), np.array(runs[1::2], np.int64) // CODE
+    whole = last - first >= count
+    return np.column_stack([start[first[whole]], end[last[whole] - 1]]).ravel().tolist()
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(tkey, spans): for each text with repeats (tkey is its MD5), starts and ends of the bytes covered by strings of
     length bytes that also start elsewhere, one after the other."""
-    text = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("tkey", F.unhex(F.md5("text")))
-    found = stored(spark, text.where(F.octet_length("text") >= length).select("tkey", "text").mapInArrow(_contexts(length), "tkey binary, fp long, code long, lo long, hi long, anchors long"), "contexts")
+    return _repeated(spark, _texts(docs), length)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("tkey", F.unhex(F.md5("text")))
+
+
+def _repeated(spark: SparkSession, text: DataFrame, length: int, coded: bool = False) -> DataFrame:
+    """repeated_spans() of text(text binary, tkey), or of its words' digests where coded; texts of one key are equal."""
+    least = 2 * length // CODE - 1 if coded else length  # bytes of so many words at least
+    found = stored(spark, text.where(F.octet_length("text") >= least).select("tkey", "text").mapInArrow(_contexts(length, coded), "tkey binary, fp long, code long, lo long, hi long, anchors long"), "contexts")
     # anchor values that occur once have no equal strings anywhere
     often = found.groupBy("fp").agg(F.sum("anchors").alias("n"), F.min("code").alias("c0"), F.max("code").alias("c1")).where("n > 1").select("fp", (F.col("c0") != F.col("c1")).alias("differ"))
     live = stored(spark, found.join(often, "fp"), "live")
@@ -358,7 +393,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     wanted = compare.join(wide, "fp", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     wanted = wanted.select(F.col("at.tkey").alias("tkey"), F.struct("fp", "code", F.pmod(F.xxhash64("code"), F.col("salts")).cast("int").alias("salt"), "salts", "at.lo", "at.hi").alias("w"))
     wanted = wanted.groupBy("tkey").agg(F.collect_list("w").alias("wanted"))  # no more than a text has contexts
-    rows = text.join(wanted, "tkey").select("text", "wanted").mapInArrow(_fetch(length), "fp long, code long, salt int, salts int, data binary")
+    rows = text.join(wanted, "tkey").select("text", "wanted").mapInArrow(_fetch(length, coded), "fp long, code long, salt int, salts int, data binary")
     shards = rows.repartition(partitions(spark), "fp", "salt").sortWithinPartitions("fp", "salt", "code")
     done = stored(spark, shards.mapInArrow(_shard(length), _SHARD), "shards")
     spans = done.where("code is not null").select("fp", "code", "spans")
@@ -395,20 +430,30 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     return joined.mapInArrow(_remove, "rid long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("rid", "doc_id")
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs, all columns, with repeats removed from their texts as remove_repeats() does. What is left of a character of
+def cut_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, count: int | None = None) -> DataFrame:
+    """docs, all columns, with repeats removed from their texts as remove_repeats() does, and with a count also the words
+    of every run of count words that also starts anywhere else, however few bytes it has. What is left of a character of
     which only some bytes went goes too; a null text stays null."""
 
     @F.pandas_udf("string")
-    def left(text, spans):
+    def left(text, spans, runs):
         import pandas as pd
 
-        return pd.Series([t if s is None or t is None else _without(np.frombuffer(t.encode(), np.uint8), s)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)], dtype=object)
+        def rest(t, s, r):
+            if t is None or s is None and r is None:
+                return t
+            data = np.frombuffer(t.encode(), np.uint8)
+            gone = ([] if s is None else list(s)) + ([] if r is None else _bytes_of_runs(data, list(r), count))
+            return _without(data, gone)[0].decode("utf-8", "ignore") if gone else t
+
+        return pd.Series([rest(*x) for x in zip(text, spans, runs)], dtype=object)
 
-    key, own, at = fresh(docs, "_text_key", "_own_key", "_spans")
-    spans = repeated_spans(spark, docs, length).select(F.col("tkey").alias(key), F.col("spans").alias(at))
+    key, own, at, by = fresh(docs, "_text_key", "_own_key", "_spans", "_runs")
+    spans = repeated_spans(spark, docs, length)
+    spans = spans.withColumn("runs", F.lit(None).cast("array<long>")) if count is None else spans.join(repeated_runs(spark, docs, count), "tkey", "full")
+    spans = spans.select(F.col("tkey").alias(key), F.col("spans").alias(at), F.col("runs").alias(by))
     joined = docs.withColumn(own, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(spans, F.col(own) == F.col(key), "left")
-    return joined.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(left("text", at))).drop(key, own, at)
+    return joined.withColumn("text", F.when(F.col(key).isNull(), F.col("text")).otherwise(left("text", at, by))).drop(key, own, at, by)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,14 @@ def test_stages_take_odd_tables(spark, case):
     for name, f in corpus_pipeline.STAGES:
         docs = stored(spark, f(spark, docs, TOP), name)
         assert docs.count() <= max(len(rows), 0) or name == "packing"
+
+
+def test_short_passages_of_over_50_words_go(spark):
+    fifty_one, fifty = " ".join(f"w{k}" for k in range(51)), " ".join(f"v{k}" for k in range(50))
+    assert len(fifty_one) < suffixes.LENGTH
+    spaced = fifty_one.replace(" ", "\n", 3)
+    long = "".join(chr(0x4E00 + k) for k in range(150))  # one word of over 400 bytes
+    rows = [(1, f"one {fifty_one} tail {fifty} x {long}"), (2, f"two\n{spaced} end {fifty} y {long}"), (3, f"three {fifty} z"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: None if r["text"] is None else r["text"].split() for r in corpus_pipeline.suffix_dedup(spark, docs, TOP).collect()}
+    assert got == {1: ["one", "tail", *fifty.split(), "x"], 2: ["two", "end", *fifty.split(), "y"], 3: ["three", *fifty.split(), "z"], 4: None, 5: []}
