@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import stored, table
-from kinfold.llm.lines import drop_lines, repeated_lines
-from kinfold.llm.minhash import near_duplicates
+from kinfold.llm.lines import NEAR_CHARS, drop_lines, repeated_lines
+from kinfold.llm.minhash import drop_near
 from kinfold.llm.packing import pack
 from kinfold.llm.suffixes import cut_repeats
 from kinfold.llm.toxicity import drop_toxic
@@ -28,13 +28,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line equals, or equals but for one edit, go; every document stays, with what is left of it."""
-    return _documents(drop_lines(docs, repeated_lines(spark, docs, short=True)))
+    return _documents(drop_lines(docs, repeated_lines(spark, docs, min_chars=NEAR_CHARS)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; documents without words all stay."""
-    gone = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+    return drop_near(spark, docs).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import blob, cut, partitions, slices, stored, table
+from kinfold.llm.common import blob, cut, fresh, partitions, slices, stored, table
 from kinfold.llm.components import components
 from kinfold.llm.kernels import U, minhashes, mix, shingle_sets
 
@@ -43,7 +43,7 @@ def half_keys(sig: np.ndarray) -> np.ndarray:
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chars, bounds = blob(batch.column(1))
+            chars, bounds = blob(batch.column(2))
             for i, j in slices(bounds):
                 values, at = shingle_sets(*cut(chars, bounds, i, j), width)
                 n = np.diff(at)
@@ -51,7 +51,7 @@ def _sketches(width: int):
                 keys = half_keys(minhashes(values, at, 2 * SIDE * DEPTH))
                 cls = pa.array([x.tobytes() if k else None for x, k in zip(ids, n.tolist())], pa.binary())
                 halves = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 2 * SIDE), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(np.diff(bounds[i : j + 1])), cls, halves], ["doc_id", "n_shingles", "n_bytes", "cls", "halves"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(np.diff(bounds[i : j + 1])), cls, halves], ["doc_id", "text_key", "n_shingles", "n_bytes", "cls", "halves"])
 
     return run
 
@@ -153,7 +153,8 @@ def _confirm(width: int, num: int, den: int):
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text, ...).
+    """(doc_id, text_key, n_shingles, component_id, kept) for every row of docs(doc_id, text, ...); text_key is the 64-bit
+    hash of the text, which tells rows apart that share a doc_id.
 
     Two documents are linked if den * |A and B| >= num * |A or B| for their sets of distinct width-word shingles
     (A-Z in lower case; words are what stands between spaces and the controls 9 to 13). component_id is the
@@ -167,10 +168,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
        spread over tasks), and only a spanning forest of the links leaves the task.
 
     Null or empty text, or text without words: empty set, linked with nothing. Rows with a null doc_id count as
-    documents but can't name a component that has another id. Repeated rows get equal results and are all kept if
-    their doc_id is the component's. Ties can't occur: ids decide. Columns other than doc_id and text are ignored.
+    documents but can't name a component that has another id. Rows that share a doc_id are documents of their own, each
+    with its own text's component; those whose doc_id is their component's are all kept. Ties can't occur: ids decide. Columns other than doc_id and text are ignored.
     """
-    base = stored(spark, docs.select("doc_id", "text").mapInArrow(_sketches(width), "doc_id long, n_shingles long, n_bytes long, cls binary, halves array<long>"), "sketches")
+    base = stored(spark, docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_sketches(width), "doc_id long, text_key long, n_shingles long, n_bytes long, cls binary, halves array<long>"), "sketches")
     classes = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("n_bytes", "halves")).alias("x")).select("cls", "doc_id", "x.n_bytes", "x.halves")
     classes = stored(spark, classes, "classes")
     half = classes.select("cls", F.posexplode("halves").alias("g", "h"))
@@ -199,11 +200,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
     grown = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(roots.withColumnRenamed("u", "cls"), "cls", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "cls"))
     lowest = grown.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grown.join(lowest, "root").select("cls", "component_id")
-    return base.select("doc_id", "n_shingles", "cls").join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return base.select("doc_id", "text_key", "n_shingles", "cls").join(named, "cls", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates() keeps: of each group those with its smallest doc_id. Rows
+    without words are in no group and stay. Rows are told apart by doc_id and text."""
+    key, code, mine = fresh(docs, "_doc", "_code", "_mine")
+    gone = near_duplicates(spark, docs, num, den, width).where("not kept").select(F.col("doc_id").alias(key), F.col("text_key").alias(code)).distinct()
+    marked = docs.withColumn(mine, F.xxhash64("text"))
+    return marked.join(gone, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(code)), "left_anti").drop(mine)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"), num=85)
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), num=85).drop("text_key")
 
 
 OP2_SQL = r"""

@@ -103,9 +103,8 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     true and kept false. Lines without a word don't count. A repeated window's words count once, its first
     occurrence included. Null doc_ids and repeated rows pass through; columns other than doc_id and text are ignored.
     """
-    base = ~compile_rules(tuple(r for r in rules if r.name in BASE))
+    failed = ~compile_rules(tuple(Rule(r.name, r.expression, r.low, None if r.name == "length" else r.high) for r in rules if r.name in BASE))
     counts = measure(docs)
-    failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words") if rules is RULES else base
     verdict = compile_rules(tuple(r for r in rules if r.name not in BASE))
     high = compile_rules(tuple(Rule(r.name, r.expression, None, r.high) for r in rules if r.name == "length" and r.high is not None))
     return counts.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & high & verdict).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines")

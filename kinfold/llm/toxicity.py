@@ -208,25 +208,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, toxic texts, other texts, toxic words of a stem) of each batch of (text, toxic): words, and stems with a star."""
+    """(unit, toxic texts, other texts) of each batch of (text, toxic). Units are words, stems with a star, and, behind an equals
+    sign and with toxic texts only, all words that have a stem."""
     for batch in batches:
         chars, bounds = blob(batch.column(0))
         label = batch.column(1).to_numpy(zero_copy_only=False)
         counts: tuple[Counter, Counter] = Counter(), Counter()
-        kinds: dict[str, set[str]] = {}
         for i, j in slices(bounds):
             t = tokens(*cut(chars, bounds, i, j))
             for d in range(j - i):
                 found = {t.word(k) for k in range(t.at[d], t.at[d + 1])}
                 units = {w for w in found if 3 < len(w) < 25} | {w[:n] + "*" for w in found for n in STEMS if len(w) > n}
-                counts[int(label[i + d])].update(units)
                 if label[i + d]:
-                    for w in found:
-                        for n in STEMS:
-                            if len(w) > n:
-                                kinds.setdefault(w[:n] + "*", set()).add(w)
+                    units |= {"=" + w for w in found if len(w) > STEMS[0]}
+                counts[int(label[i + d])].update(units)
         units = list(counts[1].keys() | counts[0].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array([counts[1][u] for u in units], pa.int64()), pa.array([counts[0][u] for u in units], pa.int64()), pa.array([len(kinds.get(u, ())) for u in units], pa.int64())], ["unit", "pos", "neg", "kinds"])
+        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array([counts[1][u] for u in units], pa.int64()), pa.array([counts[0][u] for u in units], pa.int64())], ["unit", "pos", "neg"])
 
 
 def _rows(auto: Automaton):
@@ -264,9 +261,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: in
     known = stored(spark, known, "labelled")
     totals = {int(r["toxic"]): r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
-    units = known.mapInArrow(_units, "unit string, pos long, neg long, kinds long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("kinds").alias("kinds"))
-    # a stem is one that several words share
-    units = units.where(~F.col("unit").endswith("*") | (F.col("kinds") >= MIN_KINDS))
+    units = stored(spark, known.mapInArrow(_units, "unit string, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "units")
+    # a stem is one that several distinct words of all toxic rows share
+    words = units.where(F.col("unit").startswith("=")).select(F.substring("unit", 2, 1 << 30).alias("w"), F.explode(F.array(*[F.lit(n) for n in STEMS])).alias("n")).where(F.length("w") > F.col("n"))
+    shared = words.groupBy(F.concat(F.expr("left(w, n)"), F.lit("*")).alias("unit")).agg(F.count("*").alias("kinds")).where(F.col("kinds") >= MIN_KINDS)
+    units = units.where(~F.col("unit").startswith("=")).join(shared, "unit", "left").where(~F.col("unit").endswith("*") | F.col("kinds").isNotNull())
     odds = ((F.col("pos") + 0.5) / (pos + 1)) / ((F.col("neg") + 0.5) / (neg + 1))
     found = units.where(F.col("pos") >= MIN_TEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc(F.log("odds") * F.sqrt("pos")), "unit").limit(MAX_TERMS).collect()
     chosen = {r["unit"] for r in found}
@@ -292,7 +291,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below threshold."""
+    """The rows of docs, all columns, whose text scores below threshold, or which have none (null or white space)."""
     model = fit(spark, docs, labels)
 
     @F.pandas_udf("double")
@@ -303,7 +302,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
 
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.where(scored("text") < threshold)
+    return docs.where(F.coalesce(F.trim("text"), F.lit("")).rlike(r"^\s*$") | (scored("text") < threshold))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
