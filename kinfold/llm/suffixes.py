@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import blob, cut, fresh, partitions, slices, stored, table
-from kinfold.llm.kernels import U, mix, powers, prefix_hash, span_hash, words as word_bounds
+from kinfold.llm.kernels import SPACE, U, mix, powers, prefix_hash, span_hash, words as word_bounds
 
 #: Bytes of a string whose repeats go, and of the grams among which every such string's anchor is chosen.
 LENGTH, GRAM = 400, 16
@@ -18,6 +18,8 @@ LENGTH, GRAM = 400, 16
 CODE = 4
 #: Bytes of contexts that one suffix array is made over, and contexts of one anchor value that a shard takes.
 SHARD_BYTES, SHARD_ROWS = 1_000_000, 1500
+#: Starts of one context at most, and bytes of a text that contexts are found in at a time.
+RUN, PIECE = 65_536, 4_000_000
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -179,6 +181,10 @@ def contexts(chars: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tup
     new_anchor[1:] |= a[1:] != a[:-1]
     new = new_doc.copy()
     new[1:] |= value[1:] != value[:-1]
+    if len(new) > RUN:  # a periodic text would make one context of any size
+        place = np.arange(len(new))
+        new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % RUN == 0
+        new_anchor |= new
     at = np.flatnonzero(new)
     end = np.append(at[1:], len(start)) - 1
     count = np.add.reduceat(new_anchor.astype(np.int64), at)
@@ -194,29 +200,59 @@ def word_codes(chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return code.view(np.uint8), first * CODE
 
 
+def _all_codes(data: np.ndarray) -> np.ndarray:
+    """word_codes() of one text, about PIECE bytes at a time, cut where white space is."""
+    parts, i = [], 0
+    while i < len(data):
+        j = min(i + PIECE, len(data))
+        while j < len(data) and not SPACE[data[j]]:
+            j = min(j + 1 + int(np.argmax(np.append(SPACE[data[j + 1 : j + PIECE]], True))), len(data))
+        parts.append(word_codes(data[i:j], np.array([0, j - i]))[0])
+        i = j
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def _pieces(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """contexts() of some texts, or of one, a piece at a time: strings that start in one piece have their contexts there."""
+    if len(at) > 2 or len(data) <= PIECE:
+        yield contexts(data, at, length)
+        return
+    for i in range(0, len(data) - length + 1, PIECE):
+        part = data[i : i + PIECE + length - 1]
+        doc, lo, hi, *rest = contexts(part, np.array([0, len(part)]), length)
+        yield doc, lo + i, hi + i, *rest
+
+
 def _contexts(length: int, coded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chars, bounds = blob(batch.column(1))
             for i, j in slices(bounds, 1_000_000):
                 data, at = cut(chars, bounds, i, j)
-                doc, lo, hi, count, value, code = contexts(*(word_codes(data, at) if coded else (data, at)), length)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(value), pa.array(code), pa.array(lo), pa.array(hi), pa.array(count)], ["tkey", "fp", "code", "lo", "hi", "anchors"])
+                if coded:
+                    data, at = word_codes(data, at) if j - i > 1 else ((x := _all_codes(data)), np.array([0, len(x)]))
+                for doc, lo, hi, count, value, code in _pieces(data, at, length):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(value), pa.array(code), pa.array(lo), pa.array(hi), pa.array(count)], ["tkey", "fp", "code", "lo", "hi", "anchors"])
 
     return run
 
 
 def _fetch(length: int, coded: bool):
-    """(text, wanted) to (fp, code, salt, salts, data): the bytes of the contexts that are wanted of each text."""
+    """(text, tkey, wanted) to (fp, code, salt, salts, data): the bytes of the contexts that are wanted of each text. Copies of a
+    text stand side by side; the first one does for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             size = 0
-            for text, wanted in zip(batch.column(0), batch.column(1)):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+            for text, tkey, wanted in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
+                if tkey == last:
+                    continue
+                last = tkey
+                data = text.as_buffer().to_pybytes()
                 if coded:
-                    data = word_codes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tobytes()
+                    data = _all_codes(np.frombuffer(data, np.uint8)).tobytes()
                 for w in wanted.as_py():
                     for column, x in zip(out, (w["fp"], w["code"], w["salt"], w["salts"], data[w["lo"] : w["hi"] + length])):
                         column.append(x)
@@ -243,7 +279,8 @@ def _spans(hit: np.ndarray, length: int) -> list[int]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
-    """Rows (fp, code, salt, salts, data) in order of (fp, salt), in lots of whole (fp, salt) groups of about limit bytes."""
+    """Rows (fp, code, salt, salts, data) in order of (fp, salt, code), each kind once, in lots of whole (fp, salt) groups of about
+    limit bytes."""
     held: list[tuple] = []
     size = 0
     for batch in batches:
@@ -251,6 +288,8 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tupl
             if size > limit and (row[0], row[2]) != (held[-1][0], held[-1][2]):
                 yield held
                 held, size = [], 0
+            if held and row[:2] == held[-1][:2]:
+                continue
             held.append(row)
             size += len(row[4])
     if held:
@@ -361,11 +400,16 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, count: int) -> DataFrame
 
 
 def _bytes_of_runs(text: np.ndarray, runs: list[int], count: int) -> list[int]:
-    """Runs of digests' bytes as spans of the text's bytes. Words of which only some bytes of the digest are covered are outside."""
+    """Runs of digests' bytes as spans of the text's bytes, from the first to the last of words that stand side by side and are
+    covered. Words of which only some bytes of the digest are covered are outside."""
     start, end, _ = word_bounds(text, np.array([0, len(text)]))
     first, last = -(-np.array(runs[0::2], np.int64) // CODE), np.array(runs[1::2], np.int64) // CODE
     whole = last - first >= count
-    return np.column_stack([start[first[whole]], end[last[whole] - 1]]).ravel().tolist()
+    edge = np.zeros(len(start) + 1, np.int32)
+    np.add.at(edge, first[whole], 1)
+    np.add.at(edge, last[whole], -1)
+    step = np.diff(np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0])))
+    return np.column_stack([start[np.flatnonzero(step == 1)], end[np.flatnonzero(step == -1) - 1]]).ravel().tolist()
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -389,11 +433,12 @@ def _repeated(spark: SparkSession, text: DataFrame, length: int, coded: bool = F
     classes = live.groupBy("fp", "code").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "lo", "hi")).alias("at"), F.max("differ").alias("differ"), F.max("anchors").alias("anchors"))
     classes = stored(spark, classes, "classes")
     compare = classes.where("differ or anchors > 1 and n = 1")
-    wide = compare.groupBy("fp").agg(F.count("*").alias("m")).where(F.col("m") > SHARD_ROWS).select("fp", F.ceil(F.col("m") / SHARD_ROWS).cast("int").alias("salts"))
+    size = F.sum(F.col("at.hi") - F.col("at.lo") + length)
+    wide = compare.groupBy("fp").agg(F.greatest(F.ceil(F.count("*") / SHARD_ROWS), F.ceil(size / (2 * SHARD_BYTES))).cast("int").alias("salts")).where("salts > 1")
     wanted = compare.join(wide, "fp", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     wanted = wanted.select(F.col("at.tkey").alias("tkey"), F.struct("fp", "code", F.pmod(F.xxhash64("code"), F.col("salts")).cast("int").alias("salt"), "salts", "at.lo", "at.hi").alias("w"))
     wanted = wanted.groupBy("tkey").agg(F.collect_list("w").alias("wanted"))  # no more than a text has contexts
-    rows = text.join(wanted, "tkey").select("text", "wanted").mapInArrow(_fetch(length, coded), "fp long, code long, salt int, salts int, data binary")
+    rows = text.join(wanted, "tkey").select("text", "tkey", "wanted").mapInArrow(_fetch(length, coded), "fp long, code long, salt int, salts int, data binary")
     shards = rows.repartition(partitions(spark), "fp", "salt").sortWithinPartitions("fp", "salt", "code")
     done = stored(spark, shards.mapInArrow(_shard(length), _SHARD), "shards")
     spans = done.where("code is not null").select("fp", "code", "spans")
