@@ -163,8 +163,9 @@ class _Interleaver(HTMLParser):
         elif tag in _MEDIA_TAGS:
             self.flush()
             a = dict(attrs)
-            if a.get("src"):
-                self.items.append({"kind": _MEDIA_TAGS[tag], "text": None, "ref": a["src"], "caption": a.get("alt") or None})
+            ref = a.get("src") or a.get("data-src") or next(iter((a.get("srcset") or a.get("data-srcset") or "").replace(",", " ").split()), None)
+            if ref:
+                self.items.append({"kind": _MEDIA_TAGS[tag], "text": None, "ref": ref, "caption": a.get("alt") or None})
         elif tag == "figcaption":
             self.flush()
             self.caption = True
@@ -210,24 +211,29 @@ def sequences(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, "html").mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, items {SEQUENCE}")
 
 
-def resolve(found: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """A row for each item of found(key, items), with the columns that media has for the digest in a ref "sha256:<digest>":
-    a digest join, so equal payloads are handled once. Items stay where they are: position, kind, text and caption
-    come along; texts and unknown references have nulls."""
+def resolve(found: DataFrame, media: DataFrame, key: str = "page_id", refs: DataFrame | None = None) -> DataFrame:
+    """A row for each item of found(key, items), with the columns that media has for its digest: the one in a ref
+    "sha256:<digest>", else the one that refs(ref, digest) has for the ref (the smallest, if it has several). Both are
+    equi-joins, so equal payloads are handled once. Items stay where they are: position, kind, text and caption come
+    along; texts and unknown references have nulls."""
     items = found.select(key, F.inline("items")).withColumn("digest", F.when(F.col("ref").startswith("sha256:"), F.substring_index("ref", ":", -1)))
+    if refs is not None:
+        known = refs.groupBy(F.col("ref").alias("known")).agg(F.min("digest").alias("named"))
+        items = items.join(known, F.col("ref") == F.col("known"), "left").withColumn("digest", F.coalesce("digest", "named")).drop("known", "named")
     return items.join(media, "digest", "left")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document becomes a page that refers to its payload by digest; the payload is stored as an image, read back
-    and described once for each digest, and found through the page's reference. Rows equal in doc_id and text are told
+    """Each document becomes a page of its text and a figure that refers to its payload by digest; the payload is stored as an
+    image, read back and described once for each digest, and found through the page's reference. Rows equal in doc_id and text are told
     apart by nothing and get equal results; null doc_ids pass through."""
     docs = table(spark, sf_dir, "documents")
     data = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", data.cast("binary").alias("data"), F.octet_length(data).cast("long").alias("n_bytes"))
     short = F.when(F.col("n_bytes") == 0, WIDTH).otherwise(F.pmod(-F.col("n_bytes"), F.lit(WIDTH))).cast("int")
     digest = F.sha2(F.concat("data", F.unhex(F.repeat(F.lit("00"), short))), 256)
-    page = F.concat(F.lit("<article><figure><img src=\"sha256:"), digest, F.lit("\" alt=\"payload\"><figcaption>"), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure></article>"))
+    escaped = F.replace(F.replace(F.replace(F.col("data").cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<article><p>"), escaped, F.lit("</p><figure><img src=\"sha256:"), digest, F.lit("\" alt=\"payload\"><figcaption>"), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure></article>"))
     pages = own.select(F.struct("doc_id", "n_bytes").alias("doc"), page.alias("html"))
     media = media_features(store_payloads(spark, docs.select("text")))
     rows = resolve(sequences(pages, "doc"), media, "doc").where("kind = 'image'")

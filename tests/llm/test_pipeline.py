@@ -1,11 +1,18 @@
 """The pipeline's stages, each held against what its input demands."""
 
+import random
+import re
+from collections import Counter
+
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from kinfold.llm import suffixes
 from kinfold.llm.common import stored, table
 
+from test_operators import brute_lines, shingles
+
 TOP = "/root/testdata/sf0.001"
 
 
@@ -34,14 +41,100 @@ def test_clean_documents_stay(spark, kept):
     assert sum(labels.get(d) == 0 for d in gone) <= 1
 
 
-def test_no_near_duplicates_or_repeats_remain(spark, kept):
+def test_no_near_duplicates_remain(spark, kept):
     from kinfold.llm import minhash
 
     assert minhash.near_duplicates(spark, kept[2][2]).where("not kept").count() == 0
-    assert kept[1][2].count() == kept[1][1].count() and kept[3][2].count() == kept[3][1].count()
-    before = suffixes.remove_repeats(spark, kept[3][1]).agg({"n_removed": "sum"}).first()[0]
-    cut = sum(len((a["text"] or "").encode()) for a in kept[3][1].collect()) - sum(len((a["text"] or "").encode()) for a in kept[3][2].collect())
-    assert before <= cut <= before + 8 * kept[3][1].count()
+    assert kept[1][2].count() == kept[1][1].count()
+
+
+def covered(rows, size):
+    """Which places of each row (a sequence) are covered by a run of size that also starts at another place of any row."""
+    seen = Counter(tuple(r[i : i + size]) for r in rows for i in range(len(r) - size + 1))
+    for r in rows:
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - size + 1):
+            if seen[tuple(r[i : i + size])] > 1:
+                gone[i : i + size] = True
+        yield gone
+
+
+def brute_cut(texts):
+    """What the suffix stage leaves of each text: bytes outside of repeats of 400 bytes and outside of runs of 51 repeated words."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + 400] for t in data for i in range(len(t) - 399))
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in data]
+    runs = covered([[t[a:b] for a, b in own] for t, own in zip(data, spans)], corpus_pipeline.PASSAGE_WORDS)
+    for text, t, own, words in zip(texts, data, spans, runs):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        at = np.flatnonzero(words)
+        for k in at.tolist():
+            # white space between two covered words goes too
+            together = k + 1 < len(words) and words[k + 1]
+            gone[own[k][0] : own[k][1]] = True
+            if together:
+                gone[own[k][1] : own[k + 1][0]] = True
+        yield None if text is None else np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+
+
+def test_the_suffix_stage_equals_brute_force(kept):
+    _, before, after = kept[3]
+    rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
+    got = {r["doc_id"]: r["text"] for r in after.collect()}
+    want = dict(zip([d for d, _ in rows], brute_cut([t for _, t in rows])))
+    assert len(got) == len(rows) and got == want and sum(got[d] != t for d, t in rows) > 5
+
+
+@pytest.mark.parametrize("size", [250, 320, 380, 400, 800, 4000])
+def test_planted_passages_go(spark, size):
+    """Passages of over 50 words that repeat across documents: op4 catches those of 400 bytes or more, as its contract says; the
+    pipeline's stage catches all, and leaves what stands around them."""
+    rng = random.Random(size)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    n_words = max(52, size // 7)
+    words = [word(max(1, size // n_words - 1)) for _ in range(n_words)]
+    passage = " ".join(words)
+    passage += word(max(0, size - len(passage)))
+    own = [" ".join(word(6) for _ in range(rng.randint(5, 90))) for _ in range(8)]
+    rows = [(k, f"{t} . {passage} , {t[::-1]}" if k < 4 else t, "en", "s", 0) for k, t in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, TOP).collect()}
+    assert all(passage not in got[k] and passage[20:-20] not in got[k] for k in range(4)) and all(got[k] == own[k] for k in range(4, 8))
+    assert all(got[k].startswith(own[k][:-4]) and got[k].endswith(own[k][::-1][4:]) for k in range(4))
+    gone = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(spark, docs).collect()}
+    caught = size >= suffixes.LENGTH
+    assert [gone[k] > 0 for k in range(8)] == [caught] * 4 + [False] * 4
+    assert not caught or all(gone[k] >= len(passage) for k in range(4))
+
+
+def test_rows_that_share_an_id_go_by_themselves(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    line, x, y, z, w = text(8), text(40), text(50), text(60), text(200)
+    rows = [(1, f"{line}\n{x}"), (2, f"{x}\n{text(30)}"), (2, f"{y}\n{line}"), (2, z), (3, z), (3, w), (4, w.replace(w[50:60], "qq", 1)), (4, "alone " + text(30)), (4, "alone " + text(30)), (5, None), (5, ""), (None, text(20)), (None, text(25))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _gone int, _doc int, _mine int, _code int"
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, 1, 2, 3, 4) for d, t in rows], schema)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+
+    def run(name, rows):
+        out = dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame([(d, t, "en", "s", 0, 1, 2, 3, 4) for d, t in rows], schema), TOP)
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=order)
+
+    assert run("toxicity", rows) == sorted(rows, key=order)
+    keyed = [tuple(r) for r in docs.selectExpr("doc_id", "xxhash64(text)", "text").collect()]
+    gone = {x[:3] for x in brute_lines(keyed, 1, corpus_pipeline.NEAR_CHARS)}
+    lined = [(d, None if t is None else "\n".join(v for n, v in enumerate(t.split("\n")) if (d, k, n) not in gone)) for d, k, t in keyed]
+    assert run("line_dedup", rows) == sorted(lined, key=order) and len(gone) == 3
+    sets = [shingles(t) for _, t in rows]
+    near = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    keep = [r for k, r in enumerate(rows) if not any(near(sets[k], sets[m]) and (q[0] or -1) < (r[0] or -1) for m, q in enumerate(rows))]
+    assert run("near_dedup", rows) == sorted(keep, key=order) and len(keep) == len(rows) - 2
+    assert run("suffix_dedup", rows) == sorted(zip([d for d, _ in rows], brute_cut([t for _, t in rows])), key=order)
+    packed = corpus_pipeline.packing(spark, docs, TOP).collect()
+    assert sum(r["end"] - r["start"] for r in packed) == sum(len((t or "").encode()) for _, t in rows)
 
 
 def test_all_text_is_packed(kept):
