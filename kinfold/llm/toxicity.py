@@ -238,15 +238,23 @@ def _rows(auto: Automaton):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights of least penalised loss, by Newton's method. A full step can overshoot where classes are all but separable, so it
+    is halved until the loss falls; the loss is convex, so this comes to its least."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    loss = lambda w: float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + penalty @ (w * w) / 2)
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -4, 4)
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-12:
+            step /= 2
+        if then > now:
+            break
+        w, now = w + step, then
         if np.abs(step).max() < 1e-8:
             break
     return w

@@ -501,6 +501,19 @@ def test_quotation_is_told_from_abuse():
     assert x[0][1] > 0 and x[0][0] == 0 and x[1][0] > 0 and x[1][1] == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_weights_have_the_least_loss(seed):
+    """All but separable classes, where full Newton steps overshoot."""
+    rng = np.random.default_rng(seed)
+    y = (rng.random(3000) < 0.1).astype(float)
+    plain = np.where(y > 0, rng.integers(1, 5, len(y)), rng.random(len(y)) < 0.002)
+    x = np.column_stack([np.log1p(plain), np.zeros(len(y)), np.log1p(rng.integers(0, 2, len(y))), np.zeros(len(y)), plain > 0, np.minimum(plain * 20.0 / rng.integers(5, 900, len(y)), 10)])
+    w = toxicity._logistic(x, y)
+    p = 1 / (1 + np.exp(-(x @ w[1:] + w[0])))
+    slope = np.column_stack([np.ones(len(y)), x]).T @ (y - p) - np.array([1e-3] + [0.1] * 6) * w
+    assert np.abs(slope).max() < 1e-3 and (p[y == 1] > 0.3).mean() > 0.95 and (p[y == 0] > 0.3).mean() < 0.01
+
+
 def test_toxicity_of_held_out_rows(spark):
     top = "/root/testdata/sf0.01"
     out = toxicity.op9_toxicity(spark, top).join(table(spark, top, "labels"), "doc_id").where("held_out").collect()
