@@ -33,32 +33,28 @@ _SOUTH = (_SHORT | {0x0E, 0x12}, _PLAIN_SIGNS | {0x46, 0x4A})
 # spelt-out letter names, conjuncts.
 _SCRIPTS = (
     (0x0900, _SHORT | {0x0B, 0x0C, 0x11, 0x60, 0x61}, _PLAIN_SIGNS | {0x43, 0x49}, {}, _ALTERNATES, "ँ",
-     "एल=l बी=b सी=s डी=d जी=g पी=p एस=s टी=t एम=m एन=n एच=h आर=r के=k एफ=f यू=u आई=i एजी=g ओ=o ऐ=a", "क्ष=x श्र=shr ज्ञ=gy"),
+     {"एल": "l", "बी": "b", "सी": "s", "डी": "d", "जी": "g", "पी": "p", "एस": "s", "टी": "t", "एम": "m", "एन": "n", "एच": "h", "आर": "r", "के": "k", "एफ": "f", "यू": "u", "आई": "i", "एजी": "g", "ओ": "o", "ऐ": "a"}, {"क्ष": "x", "श्र": "shr", "ज्ञ": "gy"}),
     (0x0980, _SHORT | {0x0B}, _PLAIN_SIGNS | {0x43}, {0x2F: "j", 0x35: None}, {0x2B: "f", 0x2D: "v", 0x37: "s"}, "ঁ",
-     "এল=l বি=b এস=s ডি=d জি=g পি=p টি=t এম=m এন=n আর=r কে=k", "ক্ষ=x শ্র=shr"),
+     {"এল": "l", "বি": "b", "এস": "s", "ডি": "d", "জি": "g", "পি": "p", "টি": "t", "এম": "m", "এন": "n", "আর": "r", "কে": "k"}, {"ক্ষ": "x", "শ্র": "shr"}),
     (0x0A00, _SHORT, _PLAIN_SIGNS, {0x36: None, 0x37: None}, {0x2B: "f", 0x35: "w"}, "ੑ",
-     "ਏਲ=l ਬੀ=b ਸੀ=s ਡੀ=d ਜੀ=g ਪੀ=p ਟੀ=t ਏਮ=m ਏਨ=n ਆਰ=r ਕੇ=k", "ਕ੍ਸ਼=x ਸ਼੍ਰ=shr"),
+     {"ਏਲ": "l", "ਬੀ": "b", "ਸੀ": "s", "ਡੀ": "d", "ਜੀ": "g", "ਪੀ": "p", "ਟੀ": "t", "ਏਮ": "m", "ਏਨ": "n", "ਆਰ": "r", "ਕੇ": "k"}, {"ਕ੍ਸ਼": "x", "ਸ਼੍ਰ": "shr"}),
     (0x0A80, _SHORT, _PLAIN_SIGNS, {}, _ALTERNATES, "ઁ",
-     "એલ=l બી=b સી=s ડી=d જી=g પી=p ટી=t એમ=m એન=n આર=r કે=k", "ક્ષ=x શ્ર=shr"),
+     {"એલ": "l", "બી": "b", "સી": "s", "ડી": "d", "જી": "g", "પી": "p", "ટી": "t", "એમ": "m", "એન": "n", "આર": "r", "કે": "k"}, {"ક્ષ": "x", "શ્ર": "shr"}),
     (0x0B00, _SHORT, _PLAIN_SIGNS, {}, _ALTERNATES, "ଁ",
-     "ଏଲ=l ବି=b ସି=s ଡି=d ଜି=g ପି=p ଟି=t ଏମ=m ଏନ=n ଆର=r କେ=k", "କ୍ଷ=x ଶ୍ର=shr"),
+     {"ଏଲ": "l", "ବି": "b", "ସି": "s", "ଡି": "d", "ଜି": "g", "ପି": "p", "ଟି": "t", "ଏମ": "m", "ଏନ": "n", "ଆର": "r", "କେ": "k"}, {"କ୍ଷ": "x", "ଶ୍ର": "shr"}),
     (0x0B80, *_SOUTH, {0x1A: "s", 0x29: "n", 0x31: "r", 0x33: "l", 0x34: "l"} | dict.fromkeys((0x16, 0x17, 0x18, 0x1B, 0x1D, 0x20, 0x21, 0x22, 0x25, 0x26, 0x27, 0x2B, 0x2C, 0x2D, 0x36)), {0x1A: "ch", 0x37: "s"}, "",
-     "எல்=l பி=b எஸ்=s டி=d ஜி=g எம்=m என்=n ஆர்=r கே=k சி=s", "க்ஷ=x ஸ்ரீ=sri"),
+     {"எல்": "l", "பி": "b", "எஸ்": "s", "டி": "d", "ஜி": "g", "எம்": "m", "என்": "n", "ஆர்": "r", "கே": "k", "சி": "s"}, {"க்ஷ": "x", "ஸ்ரீ": "sri"}),
     (0x0C00, *_SOUTH, {}, _ALTERNATES, "ఁ",
-     "ఎల్=l బీ=b సీ=s డీ=d జీ=g పీ=p టీ=t ఎమ్=m ఎన్=n ఆర్=r కే=k ఎఫ్=f", "క్ష=x శ్ర=shr"),
+     {"ఎల్": "l", "బీ": "b", "సీ": "s", "డీ": "d", "జీ": "g", "పీ": "p", "టీ": "t", "ఎమ్": "m", "ఎన్": "n", "ఆర్": "r", "కే": "k", "ఎఫ్": "f"}, {"క్ష": "x", "శ్ర": "shr"}),
     (0x0C80, *_SOUTH, {}, _ALTERNATES, "ಁ",
-     "ಎಲ್=l ಬಿ=b ಸಿ=s ಡಿ=d ಜಿ=g ಪಿ=p ಟಿ=t ಎಮ್=m ಎನ್=n ಆರ್=r ಕೆ=k", "ಕ್ಷ=x ಶ್ರ=shr"),
+     {"ಎಲ್": "l", "ಬಿ": "b", "ಸಿ": "s", "ಡಿ": "d", "ಜಿ": "g", "ಪಿ": "p", "ಟಿ": "t", "ಎಮ್": "m", "ಎನ್": "n", "ಆರ್": "r", "ಕೆ": "k"}, {"ಕ್ಷ": "x", "ಶ್ರ": "shr"}),
     (0x0D00, _SHORT | {0x0E, 0x12}, (_PLAIN_SIGNS | {0x46, 0x4A, 0x57}) - {0x4C}, {}, _ALTERNATES, "",
-     "എൽ=l ബി=b എസ്=s ഡി=d ജി=g പി=p ടി=t എം=m എൻ=n ആർ=r കേ=k", "ക്ഷ=x ശ്ര=shr"),
+     {"എൽ": "l", "ബി": "b", "എസ്": "s", "ഡി": "d", "ജി": "g", "പി": "p", "ടി": "t", "എം": "m", "എൻ": "n", "ആർ": "r", "കേ": "k"}, {"ക്ഷ": "x", "ശ്ര": "shr"}),
 )
 _CHILLUS = {"ൺ": "n", "ൻ": "n", "ർ": "r", "ൽ": "l", "ൾ": "l", "ൿ": "k"}
 _INDIC = re.compile("[ऀ-ൿ]")
 
 
-def _pairs(text: str) -> list[tuple[str, str]]:
-    return [tuple(x.split("=")) for x in text.split()]
-
-
 @lru_cache(maxsize=1)
 def _tables() -> tuple:
     """(consonants, signs, others, viramas, letter names, conjuncts), readings as (primary, alternate)."""
@@ -75,8 +71,8 @@ def _tables() -> tuple:
         if nasal:
             others[nasal] = "n", "n"
         viramas.add(chr(base + 0x4D))
-        names += _pairs(letters)
-        conjuncts += _pairs(joined)
+        names += list(letters.items())
+        conjuncts += list(joined.items())
     others |= {k: (v, v) for k, v in _CHILLUS.items()} | dict.fromkeys("‌‍⁠", ("", "")) | dict.fromkeys("।॥", (" ", " "))
     return consonants, signs, others, viramas, sorted(names, key=lambda x: -len(x[0])), conjuncts
 

@@ -28,44 +28,87 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def exact_knn(queries: DataFrame, items: DataFrame, k: int, cutoff: float | None = None, exclude_self: bool = True, dim: int | None = None) -> DataFrame:
+class _Nearest:
+    """The k nearest items, ties included, of some query vectors, over batches of items."""
+
+    def __init__(self, ids: list[int], vectors: list, k: int, cutoff: float | None, exclude_self: bool) -> None:
+        q = np.array(vectors, np.float64).reshape(len(ids), -1)
+        self.q, self.ids, self.k, self.cutoff, self.exclude_self = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), np.array(ids, np.int64), k, cutoff, exclude_self
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+
+    def add(self, ids: list[int], vectors: list) -> None:
+        for lo in range(0, len(ids), BLOCK):
+            own = np.array(ids[lo : lo + BLOCK], np.int64)
+            x = np.array(vectors[lo : lo + BLOCK], np.float64).reshape(len(own), -1)
+            cos = self.q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+            if self.exclude_self:
+                cos[self.ids[:, None] == own[None, :]] = -np.inf
+            for i, c in enumerate(cos):
+                least = -np.inf if len(c) <= self.k else np.partition(c, len(c) - self.k)[len(c) - self.k]
+                keep = np.flatnonzero((c >= least) & (c > -np.inf))
+                both, names = np.concatenate((self.held[i][0], c[keep])), np.concatenate((self.held[i][1], own[keep]))
+                if len(both) > self.k:
+                    keep = both >= np.partition(both, len(both) - self.k)[len(both) - self.k]
+                    both, names = both[keep], names[keep]
+                self.held[i] = both, names
+
+    def rows(self) -> pa.RecordBatch:
+        cos = np.concatenate([x for x, _ in self.held]) if self.held else np.zeros(0)
+        names = np.concatenate([x for _, x in self.held]) if self.held else np.zeros(0, np.int64)
+        q = np.repeat(self.ids, [len(x) for x, _ in self.held])
+        keep = np.ones(len(cos), bool) if self.cutoff is None else cos >= self.cutoff
+        return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(names[keep]), pa.array(cos[keep])], ["q_id", "id", "cos"])
+
+
+def exact_knn(queries: DataFrame, items: DataFrame, k: int, cutoff: float | None = None, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
     """(q_id, id, cos, rank): for each of queries(id, vec) its k nearest of items(id, vec) by cosine, exactly.
 
-    Queries are collected in blocks of BLOCK, so a broadcast has a known size; each task multiplies its items with a block and
-    keeps k of each query, so what is shuffled doesn't grow with the number of items in a task.
+    Up to block queries are handed to every task that reads items. More are cut into blocks of about that many, as are the items,
+    and each block of queries meets each block of items in a group of its own: nothing but a count reaches the driver. A
+    task keeps k of each query, so what is shuffled after it doesn't grow with the number of items in a task.
     """
-    out = None
-    rows = queries.select("id", "vec").where("vec is not null")
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    marked = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    for b in range(blocks):
-        part = marked.where(F.col("_b") == b).select("id", "vec").toArrow()
-        ids = part.column(0).to_pylist()
-        q = np.array(part.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
+    q = queries.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null")
+    x = items.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null")
+    n = q.count()
+    out = "q_id long, id long, cos double"
+    if n <= block:
+        held = q.toArrow()  # at most block rows
+        ids, vectors = held.column(0).to_pylist(), held.column(1).to_pylist()
+
+        def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = _Nearest(ids, vectors, k, cutoff, exclude_self)
             for batch in batches:
-                xs = batch.column(0).to_pylist()
-                if not xs or not ids:
-                    continue
-                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(xs), -1)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                cos = q @ x.T
-                order = np.array(xs, object)
-                rows: tuple[list, list, list] = ([], [], [])
-                for i, qid in enumerate(ids):
-                    c = cos[i]
-                    keep = np.flatnonzero(c >= np.partition(c, max(len(c) - k - 1, 0))[max(len(c) - k - 1, 0)])
-                    for j in keep.tolist():
-                        if not (exclude_self and order[j] == qid) and (cutoff is None or c[j] >= cutoff):
-                            rows[0].append(qid), rows[1].append(order[j]), rows[2].append(float(c[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], ["q_id", "id", "cos"])
-
-        found = items.select(F.col("id").cast("long"), "vec").where("vec is not null").mapInArrow(run, "q_id long, id long, cos double")
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, k)
+                near.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield near.rows()
+
+        return top_k(x.mapInArrow(few, out), k)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, near, ids, vectors = None, None, [], []
+        for batch in batches:
+            for a, b, side, name, vec in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, b) != key:
+                    if near is not None:
+                        near.add(ids, vectors)
+                        yield near.rows()
+                    key, near, ids, vectors = (a, b), None, [], []
+                if side and near is None:  # the queries of a group come first
+                    near, ids, vectors = _Nearest(ids, vectors, k, cutoff, exclude_self), [], []
+                ids.append(name)
+                vectors.append(vec)
+                if side and len(ids) >= BLOCK:
+                    near.add(ids, vectors)
+                    ids, vectors = [], []
+        if near is not None:
+            near.add(ids, vectors)
+            yield near.rows()
+
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_q = -(-n // block)
+    n_x = max(1, -(-tasks // n_q))
+    dealt = lambda df, own, other, side, m, of: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(of - 1)))).select("qb", "xb", F.lit(side).alias("side"), "id", "vec")
+    both = dealt(q, "qb", "xb", 0, n_q, n_x).unionByName(dealt(x, "xb", "qb", 1, n_x, n_q))
+    return top_k(both.repartition(max(tasks, n_q * n_x), "qb", "xb").sortWithinPartitions("qb", "xb", "side").mapInArrow(blocks, out), k)
 
 
 def kmeans(items: DataFrame, k: int, iterations: int = 6, seed: int = 5):
@@ -97,6 +140,8 @@ class IVF:
         self.top = top
         self.start = np.concatenate(([0], np.cumsum([len(x) for x in leaves])))
         self.leaves = np.concatenate(leaves)
+        if len(self.leaves) > MAX_CENTROIDS:
+            raise ValueError("too many leaves to hand to every task")
         self.norm = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
     def probe(self, items: DataFrame, n1: int, n2: int) -> DataFrame:
@@ -109,15 +154,13 @@ class IVF:
 
             x = np.array(vec.tolist(), np.float64).reshape(len(vec), -1)
             cells = np.argsort(-(x @ top.T), axis=1, kind="stable")[:, :n1]
-            sim = x @ leaves.T
-            out = []
-            for i, own in enumerate(cells):
-                found: list[int] = []
-                for c in own:
-                    a, b = start[c], start[c + 1]
-                    found += (a + np.argsort(-sim[i, a:b], kind="stable")[:n2]).tolist()
-                out.append(np.array(found, np.int32))
-            return pd.Series(out)
+            out: list[list[int]] = [[] for _ in range(len(x))]
+            for c in np.unique(cells).tolist():  # leaves are compared with the vectors that probe their cell only
+                rows = np.flatnonzero((cells == c).any(1))
+                best = start[c] + np.argsort(-(x[rows] @ leaves[start[c] : start[c + 1]].T), axis=1, kind="stable")[:, :n2]
+                for i, own in zip(rows.tolist(), best.tolist()):
+                    out[i] += own
+            return pd.Series([np.array(v, np.int32) for v in out])
 
         return items.withColumn("leaf", F.explode(near(F.col("vec"))))
 
@@ -149,9 +192,26 @@ def build_ivf(items: DataFrame, k1: int = 1024, k2: int = 64, sample: int = 200_
     return IVF(top, [np.array(by.get(k) or [top[k].tolist()]) for k in range(len(top))])
 
 
+def choose_probes(queries: DataFrame, items: DataFrame, index: IVF, k: int = 50, least: float = 0.9, sample: int = 200, cutoff: float | None = None) -> tuple[tuple[int, int], float]:
+    """(probes, recall): the first of (2, 4), (4, 8), (8, 16), ... at which ivf_join() finds at least this share of the exact k
+    nearest of a sample of queries, those with the smallest hash (bounded, so that the exact search is cheap). All
+    leaves probed is the last step, which is exact."""
+    some = queries.select("id", "vec").where("vec is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
+    exact = {(r["q_id"], r["id"]) for r in exact_knn(some, items, k, cutoff).select("q_id", "id").collect()}  # sample * k rows
+    cells, leaves = len(index.top), int(np.diff(index.start).max())
+    probes = (2, 4)
+    while True:
+        probes = (min(probes[0], cells), min(probes[1], leaves))
+        found = {(r["q_id"], r["id"]) for r in ivf_join(some, items, index, k, probes, cutoff).select("q_id", "id").collect()}
+        recall = len(found & exact) / len(exact) if exact else 1.0
+        if recall >= least or probes == (cells, leaves):
+            return probes, recall
+        probes = (probes[0] * 2, probes[1] * 2)
+
+
 def ivf_join(queries: DataFrame, items: DataFrame, index: IVF, k: int = 50, probes: tuple[int, int] = (2, 4), cutoff: float | None = None, exclude_self: bool = True, country: str | None = None) -> DataFrame:
     """(q_id, id, cos, rank): queries probe n1 x n2 leaves, an equi-join on the leaf makes pairs, exact cosines rank them. country
-    names a column that must agree, if any."""
+    names a column that must agree, if any. What the default probes find depends on the index; choose_probes() measures it."""
     extra = [country] if country else []
     q = index.probe(queries.select(F.col("id").alias("q_id"), F.col("vec"), *extra), *probes).withColumnRenamed("vec", "q_vec")
     x = index.probe(items.select("id", "vec", *extra), 1, 1)
@@ -183,15 +243,23 @@ def recall_at(neighbours: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (10,
 # ---------------------------------------------------------------- text embeddings
 
 
-def grams(text: Column) -> Column:
+def grams(text: Column, most: int | None = MAX_GRAMS) -> Column:
     """Character runs of 3 and 4, words, and pairs of words of a text, in this order and with a mark for their kind; the first
-    MAX_GRAMS."""
-    n = F.length(text)
-    chars = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.concat(F.lit(f"{k}:"), F.substring(text, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+    of them, or all."""
+    none = F.array().cast("array<string>")
+    if most is not None:  # runs of 3 come first, so what is behind so many characters can't be among the first
+        text = F.substring(text, 1, most + 3)
+        n = F.length(text)
+        chars = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.concat(F.lit(f"{k}:"), F.substring(text, i, F.lit(k))))).otherwise(none)
+    else:  # characters are split once and bound: a place in a string is found by counting from its start
+        run = lambda c, k: F.when(F.size(c) >= k, F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: F.concat(F.lit(f"{k}:"), *[F.get(c, i + j) for j in range(k)]))).otherwise(none)
+        chars = lambda k: F.transform(F.array(F.split(text, "")), lambda c: run(c, k))[0]
     words = F.filter(F.split(text, " "), lambda w: w != "")
     one = F.transform(words, lambda w: F.concat(F.lit("w:"), w))
-    two = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat(F.lit("b:"), F.get(words, i), F.lit(" "), F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.concat(chars(3), chars(4), one, two), 1, MAX_GRAMS)
+    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.lit("b:"), F.get(w, i), F.lit(" "), F.get(w, i + 1)))).otherwise(none)
+    two = pairs(words) if most is not None else F.transform(F.array(words), pairs)[0]
+    found = F.concat(chars(3), chars(4), one, two)
+    return found if most is None else F.slice(found, 1, most)
 
 
 def bucketed(g: Column, buckets: int = BUCKETS) -> Column:

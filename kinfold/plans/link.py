@@ -36,7 +36,9 @@ def embedding_candidates(records: DataFrame, k: int = 50, cutoff: float | None =
     t = records.select("eid", "src", F.xxhash64("eid").alias("id"), record_text(F.col("name"), F.col("addr"), F.col("country")).alias("text"))
     v = (encoder or ann.Encoder().fit_idf(t)).embed(t)
     others = v.where("src > 1")
-    found = ann.ivf_join(v.where("src = 1"), others, ann.build_ivf(others, k1, k2), k, cutoff=cutoff)
+    index = ann.build_ivf(others, k1, k2)
+    probes, _ = ann.choose_probes(v.where("src = 1"), others, index, k, 0.9, cutoff=cutoff)
+    found = ann.ivf_join(v.where("src = 1"), others, index, k, probes, cutoff)
     names = t.select("eid", "id")
     return found.join(names.select(F.col("eid").alias("s1_id"), F.col("id").alias("q_id")), "q_id").join(names.withColumnRenamed("eid", "s2_id"), "id").select("s1_id", "s2_id")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -35,6 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one where none is set, as in tests."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="kinfold-")
+        atexit.register(shutil.rmtree, made, True)
+        top = "file://" + made
+    return f"{top.rstrip('/')}/kinfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, dealt out where a file of one row group would leave most cores idle; larger inputs stay as they are read."""
     docs = table(spark, sf_dir, "documents")
@@ -53,13 +68,18 @@ def entities(spark: SparkSession, sf_dir: str, phonetic: bool = False) -> DataFr
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of an S1 and an S2 or S3 document with equal cleaned text in one language."""
-    d = texts(spark, sf_dir).select(
-        F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("eid"), (F.col("doc_id") % 3 + 1).alias("src"),
-        F.col("lang"), F.md5(F.array_join(T.split_words(T.clean(F.col("text"))), " ").cast("binary")).alias("m"),
-    )
-    one = d.where("src = 1").select(F.col("eid").alias("s1_id"), "lang", "m")
-    return one.join(d.where("src > 1").select(F.col("eid").alias("s2_id"), "lang", "m"), ["lang", "m"]).select("s1_id", "s2_id").persist(StorageLevel.MEMORY_AND_DISK)
+    """Pairs of an S1 and an S2 or S3 document with equal cleaned text in one language. The documents are those that the records
+    are made of, so a query that needs both reads and cleans them once."""
+    d = documents(spark, sf_dir).select(F.col("entity_id").alias("eid"), "src", "country", "digest")
+    one = d.where("src = 1").select(F.col("eid").alias("s1_id"), "country", "digest")
+    return one.join(d.where("src > 1").select(F.col("eid").alias("s2_id"), "country", "digest"), ["country", "digest"]).select("s1_id", "s2_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(eid, country, name_toks, name) of whole cleaned texts, for queries that count or describe text."""
+    words = T.split_words(T.clean(F.col("text")))
+    d = texts(spark, sf_dir).select(src.document_id(F.col("doc_id")).alias("eid"), F.col("lang").alias("country"), words.alias("name_toks"))
+    return d.withColumn("name", F.array_join("name_toks", " "))
 
 
 def s1_of(r: DataFrame) -> DataFrame:
@@ -154,9 +174,9 @@ def state_extract(spark, d):
     return entities(spark, d).select("eid", "state")
 
 
-@query(sql("select term, df::bigint as df from df", "df"))
+@query(sql("select term, count(*)::bigint as df from (select unnest(w) as term from w) group by 1", "w"))
 def term_df(spark, d):
-    return blocking.term_frequency(entities(spark, d))
+    return blocking.term_frequency(whole(spark, d))
 
 
 @query("select * from (values ('शर्मा', 'sharma'), ('लक्ष्मी', 'laxmi'), ('प्राइवेट', 'praivet'), ('लिमिटेड', 'limited'), ('राम', 'ram'), ('दिल्ली', 'dilli'), ('ट्रेडर्स', 'tredars'), ('केरल', 'kral'), ('एलएलपी', 'llp')) as t(word, reading)")
@@ -165,11 +185,11 @@ def romanize_words(spark, d):
     return words.select("word", romanize("word")["primary"].alias("reading"))
 
 
-@query(sql("select eid, array_to_string(list_sort(list_distinct(name_toks)), ' ') as name_sig, array_to_string(list_sort(list_distinct(addr_toks)), ' ') as addr_sig, name || ' | ' || addr || ' | q' || lower(country) || ' ' as record_text from e where name <> '' and addr <> ''", "e"))
+@query(sql("select eid, array_to_string(list_sort(list_distinct(w)), ' ') as sig, t || ' | q' || lower(lang) || ' ' as record_text from (select 'S' || (doc_id % 3 + 1) || '-' || doc_id as eid, lang, w, array_to_string(w, ' ') as t from w) where t <> ''", "w"))
 def record_texts(spark, d):
-    r = entities(spark, d).where("name <> '' and addr <> ''")
-    s = T.signature(F.col("name_toks"), F.col("addr_toks"))
-    return r.select("eid", F.array_join(s["name"], " ").alias("name_sig"), F.array_join(s["address"], " ").alias("addr_sig"), T.record_text(F.col("name"), F.col("addr"), F.col("country")).alias("record_text"))
+    r = whole(spark, d).where("name <> ''")
+    s = T.signature(F.col("name_toks"), F.array().cast("array<string>"))
+    return r.select("eid", F.array_join(s["name"], " ").alias("sig"), T.record_text(F.col("name"), F.lit(""), F.col("country")).alias("record_text"))
 
 
 @query()
@@ -469,9 +489,9 @@ def profile_script_class(spark, d):
     return profile.script_classes(table(spark, d, "documents").withColumn("src", (F.col("doc_id") % 3 + 1).cast("int")), "text")
 
 
-@query(sql("select count(distinct term)::bigint as n_words from df", "df"))
+@query(sql("select count(distinct term)::bigint as n_words from (select unnest(w) as term from w)", "w"))
 def profile_vocabulary(spark, d):
-    return profile.vocabulary_size(entities(spark, d))
+    return profile.vocabulary_size(whole(spark, d))
 
 
 @query(sql("select (count(*) - count(distinct name || '|' || addr))::bigint as n_surplus, count(distinct name || '|' || addr)::bigint as n_distinct from e", "e"))
@@ -564,18 +584,22 @@ def cosine_pairs(spark, d):
     return v.join(n, "id").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.round(cosine(F.col("vec"), F.col("w")), 5).alias("cos"))
 
 
-_GRAMS = "list_concat(list_transform(range(1, length(t) - 1), lambda i: '3:' || substr(t, i, 3)), list_transform(range(1, length(t) - 2), lambda i: '4:' || substr(t, i, 4)), list_transform(ws, lambda x: 'w:' || x), list_transform(range(1, len(ws)), lambda i: 'b:' || ws[i] || ' ' || ws[i + 1]))[1:320]"
+_GRAMS = """select gram, count(distinct eid)::bigint as df from (
+select eid, '3:' || substr(t, i, 3) as gram from (select eid, t, unnest(range(1, length(t) - 1)) as i from g) union all
+select eid, '4:' || substr(t, i, 4) from (select eid, t, unnest(range(1, length(t) - 2)) as i from g) union all
+select eid, 'w:' || unnest(w) from g union all
+select eid, 'b:' || w[i] || ' ' || w[i + 1] from (select eid, w, unnest(range(1, len(w))) as i from g)) group by 1"""
 
 
-@query(sql(f"select gram, count(*)::bigint as df from (select distinct eid, unnest({_GRAMS}) as gram from (select eid, name as t, list_filter(string_split(name, ' '), lambda x: x <> '') as ws from e)) group by 1", "e"))
+@query(sql(_GRAMS, "w").replace(" select gram", ", g as (select doc_id as eid, w, array_to_string(w, ' ') as t from w) select gram", 1))
 def gram_df(spark, d):
-    g = entities(spark, d).select(F.explode(F.array_distinct(ann.grams(F.col("name")))).alias("gram"))
+    g = whole(spark, d).select(F.explode(F.array_distinct(ann.grams(F.col("name"), None))).alias("gram"))
     return g.groupBy("gram").agg(F.count("*").alias("df"))
 
 
 @query()
 def text_embeddings(spark, d):
-    r = entities(spark, d).select("eid", T.record_text(F.col("name"), F.col("addr"), F.col("country")).alias("text"))
+    r = whole(spark, d).select("eid", T.record_text(F.col("name"), F.lit(""), F.col("country")).alias("text")).persist(StorageLevel.MEMORY_AND_DISK)  # read twice
     e = ann.Encoder(1 << 12, 32).fit_idf(r).embed(r)
     return e.select("eid", F.array_join(F.transform("vec", lambda x: F.round(x, 4).cast("string")), ",").alias("vec"))
 
@@ -585,16 +609,13 @@ def text_embeddings(spark, d):
 
 @query("select 'S' || (doc_id % 3 + 1) || '-' || doc_id as entity_id, lang as country, (doc_id % 3 + 1)::int as src from documents")
 def tsv_round_trip(spark, d):
-    with tempfile.TemporaryDirectory() as top:
-        rows = documents(spark, d).select("entity_id", "business_name", "business_address", "country")
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "file://" + top)
-        parts = []
-        for k in (1, 2, 3):
-            path = f"{shared}/records-{spark.sparkContext.applicationId}-{abs(hash(d))}-{k}"
-            src.write_tsv(rows.where(F.col("entity_id").startswith(f"S{k}-")), path)
-            parts.append(src.read_tsv(spark, path))
-        out = src.union_sources(*parts).select("entity_id", "country", "src")
-        return spark.createDataFrame(out.toArrow()) if shared.startswith("file://" + top) else out
+    rows = documents(spark, d).select("entity_id", "business_name", "business_address", "country")
+    parts = []
+    for k in (1, 2, 3):
+        path = scratch(spark, f"records-{k}")
+        src.write_tsv(rows.where(F.col("entity_id").startswith(f"S{k}-")), path)
+        parts.append(src.read_tsv(spark, path))
+    return src.union_sources(*parts).select("entity_id", "country", "src")
 
 
 @query("select doc_id from (select doc_id, row_number() over (order by doc_id) as r from documents) where r % 17 = 1")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 RECORDS = "entity_id string, business_name string, business_address string, country string"
 GOLD = "source1_entity_id string, matched_entity_ids string"
@@ -106,17 +111,27 @@ def write_stage(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
 # ---------------------------------------------------------------- adapters
 
 
+_WORD = re.compile("[a-z0-9]+|&")
+
+
+@F.pandas_udf(StructType([StructField(c, StringType()) for c in ("name", "address", "digest")]))
+def _ends(text: pd.Series) -> pd.DataFrame:
+    """The first six and the last six words of each cleaned text, and a digest of all of them, from one pass over the text."""
+    from kinfold.functions.text import fold_text
+
+    words = [_WORD.findall(fold_text(t or "").lower()) for t in text]
+    return pd.DataFrame({"name": [" ".join(w[:6]) for w in words], "address": [" ".join(w[-6:]) for w in words], "digest": [hashlib.md5(" ".join(w).encode()).hexdigest() for w in words]})
+
+
+def document_id(doc_id: Column) -> Column:
+    return F.concat(F.lit("S"), (doc_id % 3 + 1).cast("string"), F.lit("-"), doc_id.cast("string"))
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
-    """Documents as records: ids by doc_id modulo 3, the first six words as name, the last six as address."""
-    from kinfold.functions.text import clean, split_words
-
-    d = docs.select("doc_id", F.col("lang").alias("country"), split_words(clean(F.col("text"))).alias("w"))
-    src = (F.col("doc_id") % 3 + 1).cast("int")
-    tail = F.when(F.size("w") > 6, F.slice("w", -6, 6)).otherwise(F.col("w"))
-    return d.select(
-        F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
-        F.array_join(F.slice("w", 1, 6), " ").alias("business_name"), F.array_join(tail, " ").alias("business_address"), "country", src.alias("src"),
-    )
+    """Documents as records: ids by doc_id modulo 3, the first six words as name, the last six as address; and a digest of
+    all words, which tells equal cleaned texts."""
+    d = docs.select("doc_id", F.col("lang").alias("country"), _ends("text").alias("e"))
+    return d.select(document_id(F.col("doc_id")).alias("entity_id"), F.col("e.name").alias("business_name"), F.col("e.address").alias("business_address"), "country", (F.col("doc_id") % 3 + 1).cast("int").alias("src"), "e.digest")
 
 
 def from_parts(part: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def test_core_words_and_address_words(spark):
     df = spark.createDataFrame([("blue software private limited",), ("wilk delta plus p c",)], "t string").select(F.split("t", " ").alias("w"))
     assert [r[0] for r in df.select(F.array_join(T.core_words(F.col("w")), " ")).collect()] == ["blue software", "wilk delta plus p c"]
     df = spark.createDataFrame([("main street north x",)], "t string").select(F.split("t", " ").alias("w"))
-    assert df.select(F.array_join(T.fold_address_words(F.col("w")), " ")).first()[0] == "main st n x"
+    assert df.select(F.array_join(T.fold_address_words(F.col("w"), {"street": "st", "north": "n"}), " ")).first()[0] == "main st n x"
 
 
 @pytest.mark.parametrize(("address", "pin", "digits"), [("12345678", 123456, [12345678]), ("12345678 54321", 54321, [12345678, 54321]), ("Boston 02134", 2134, [2134]), ("12-11-1178, x", None, [12, 11, 1178]), ("१२ 34", None, [12, 34]), (None, None, []), ("2147483649", 214748, [1])])

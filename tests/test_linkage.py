@@ -91,8 +91,23 @@ def test_ivf_recall(spark):
     q = v.where("id % 25 = 0")
     exact = {(r["q_id"], r["id"]) for r in ann.exact_knn(q, v, 10).collect()}
     index = ann.build_ivf(v, 8, 4)
-    found = [{(r["q_id"], r["id"]) for r in ann.ivf_join(q, v, index, 10, p).collect()} for p in ((4, 4), (8, 4))]
-    assert len(exact & found[0]) >= 0.6 * len(exact) and found[1] == exact  # all leaves probed: exact
+    probes, measured = ann.choose_probes(q, v, index, 10)
+    for p, least in ((probes, 0.9), ((8, 4), 1.0)):  # all leaves probed: exact
+        found = {(r["q_id"], r["id"]) for r in ann.ivf_join(q, v, index, 10, p).collect()}
+        assert len(exact & found) >= least * len(exact)
+    assert measured >= 0.9
+
+
+def test_exact_search_in_blocks(spark):
+    v = Q.vectors(spark, TOP)
+    rows = lambda df: sorted((r["q_id"], r["id"], r["rank"], round(r["cos"], 9)) for r in df.collect())
+    for options in ({}, {"cutoff": 0.3}, {"exclude_self": False}):
+        few, many = ann.exact_knn(v, v, 7, **options), ann.exact_knn(v, v, 7, block=37, **options)
+        assert rows(few) == rows(many) and few.count() > 0
+    m = {r["id"]: __import__("numpy").array(r["vec"], float) for r in v.collect()}
+    one = min(m)
+    cos = sorted(((-float(x @ m[one] / (x @ x) ** 0.5 / (m[one] @ m[one]) ** 0.5), i) for i, x in m.items() if i != one))[:7]
+    assert [i for _, i in cos] == [r[1] for r in sorted(rows(ann.exact_knn(v.where(F.col("id") == one), v, 7)), key=lambda r: r[2])]
 
 
 def test_encoder(spark, tmp_path):
