@@ -25,7 +25,7 @@ def sample_negatives(pairs: DataFrame, ratio: float, seed: int = 42) -> DataFram
     the choice doesn't depend on partitions. A sampling operator."""
     n = pairs.agg(F.count_if(F.expr("label = 1")).alias("p"), F.count_if(F.expr("label = 0")).alias("n")).first()
     share = min(1.0, ratio * n["p"] / n["n"]) if n["n"] else 1.0
-    h = F.pmod(F.xxhash64(F.lit(seed), "s1_id", "s2_id"), F.lit(1_000_000))
+    h = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "s1_id", F.lit(":"), "s2_id").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(1_000_000))
     return pairs.where((F.col("label") == 1) | (h < int(share * 1_000_000)))
 
 

@@ -523,7 +523,10 @@ def profile_features(spark, d):
     return rounded(profile.feature_summary(f, ("name_tok_jac", "addr_tok_jac")))
 
 
-@query()
+@query(sql("""select count(*)::bigint as n_pairs, round(quantile_cont(df, 0.1), 6) as p10, round(quantile_cont(df, 0.5), 6) as p50, round(quantile_cont(df, 0.9), 6) as p90 from (
+select m.s1_id, m.s2_id, min(df.df)::double as df from (select m.s1_id, m.s2_id, unnest(list_intersect(a.name_toks, b.name_toks)) as term
+from (select * from gold g where not exists (select 1 from k a join k b on a.key = b.key and a.country = b.country and a.key_id = 2 and b.key_id = 2 where a.eid = g.s1_id and b.eid = g.s2_id)) m
+join e a on a.eid = m.s1_id join e b on b.eid = m.s2_id) m join df using (term) group by 1, 2)""", "e", "gold", "k", "df"))
 def profile_missed_frequency(spark, d):
     r, g = entities(spark, d), gold(spark, d)
     hits = blocking.key_hits(g, blocking.blocking_keys(r, (2,)))
@@ -560,7 +563,16 @@ def ivf_topk(spark, d):
     return ann.ivf_join(v.where("id % 100 = 0"), v, ann.build_ivf(v, 16, 8), 10, (12, 8)).select("q_id", "id", F.round("cos", 5).alias("cos"))
 
 
-@query()
+_NEAR = """(select a.vec_id as q_id, b.vec_id as id, a.label = b.label as same, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as cos, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) as r from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0)"""
+
+
+@query(f"select q_id, id, round(cos, 5) as cos from {_NEAR} where r <= 10 and cos >= 0.3")
+def cosine_cutoff(spark, d):
+    v = vectors(spark, d)
+    return ann.exact_knn(v.where("id % 100 = 0"), v, 10, 0.3).select("q_id", "id", F.round("cos", 5).alias("cos"))
+
+
+@query(f"select q_id, id, rank from (select q_id, id, r::int as rank, row_number() over (partition by q_id order by r) as place from {_NEAR} where r <= 50 and not same) where place <= 8")
 def hard_negatives(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
     q = v.where("id % 100 = 0")
@@ -618,12 +630,31 @@ def tsv_round_trip(spark, d):
     return src.union_sources(*parts).select("entity_id", "country", "src")
 
 
+@query(sql("select distinct s1_id, s2_id from gold", "gold"))
+def gold_round_trip(spark, d):
+    r, g, path = entities(spark, d), gold(spark, d), scratch(spark, "gold")
+    src.write_tsv(src.id_lists(s1_of(r), g), path)
+    return src.known_pairs(src.read_gold(spark, path), r)
+
+
+@query("select distinct 'C-' || (conv_id % 50) as entity_id from conversations where conv_id is not null")
+def ids_round_trip(spark, d):
+    path = scratch(spark, "ids")
+    src.write_tsv(table(spark, d, "conversations").where("conv_id is not null").select(F.concat(F.lit("C-"), (F.col("conv_id") % 50).cast("string")).alias("entity_id"), "turn"), path)
+    return src.read_ids(spark, path)
+
+
+@query("select conv_id::varchar as eid, count(*)::bigint as n from conversations group by 1 having count(*) > 1")
+def duplicate_ids(spark, d):
+    return profile.duplicate_ids(table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("eid")))
+
+
 @query("select doc_id from (select doc_id, row_number() over (order by doc_id) as r from documents) where r % 17 = 1")
 def sample_every_17th(spark, d):
     return src.every_kth(table(spark, d, "documents").select("doc_id"), 17, "doc_id")
 
 
-@query()
+@query("select doc_id from documents order by md5('42:' || doc_id), doc_id limit 100")
 def sample_hashed(spark, d):
     return src.hash_sample(table(spark, d, "documents").select("doc_id"), 100, "doc_id")
 
@@ -649,7 +680,8 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[str, ...]]:
     return metrics.label_pairs(f, gold(spark, d)), names
 
 
-@query()
+@query(sql("""select s1_id, s2_id, label from (select *, 2.0::double * sum(label) over () / sum(1 - label) over () as share, ('0x' || substr(md5('42:' || s1_id || ':' || s2_id), 1, 8))::bigint % 1000000 as h
+from (select p.s1_id, p.s2_id, case when g.s1_id is null then 0.0::double else 1.0::double end as label from pairs p left join (select distinct * from gold) g on g.s1_id = p.s1_id and g.s2_id = p.s2_id)) where label = 1 or h < floor(least(1.0, share) * 1000000)""", "pairs", "gold"))
 def negative_sample(spark, d):
     return models.sample_negatives(_labelled(spark, d)[0], 2.0).select("s1_id", "s2_id", "label")
 

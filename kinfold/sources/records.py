@@ -84,8 +84,9 @@ def every_kth(df: DataFrame, k: int, order: str) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement, the same ones however the data are partitioned. A sampling operator."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).orderBy("_h", key).limit(n).drop("_h")
+    """n rows without replacement, those with the smallest hash of the key, by a hash that every engine has; the same ones however
+    the data are partitioned. A sampling operator."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 # ---------------------------------------------------------------- sinks
