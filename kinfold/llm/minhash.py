@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import blob, cut, fresh, partitions, slices, stored, table
@@ -152,6 +152,51 @@ def _confirm(width: int, num: int, den: int):
     return run
 
 
+def _blocks():
+    """Blocks that a group of members needs."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _large_links(spark: SparkSession, large: DataFrame, keys: DataFrame, confirmed) -> DataFrame:
+    """Links (u, v) that connect every two linked members of large(root, cls, doc_id, n_bytes) that share a table key.
+
+    Each member is first confirmed against one leader only, the smallest class of any of its buckets; that makes one
+    comparison a member and puts near copies of one text together. A bucket whose members are connected by then is
+    done. Of the others only members that aren't connected are compared, block by block: blocks of one such group
+    never meet each other.
+    """
+    mine = stored(spark, keys.join(large.select("cls"), "cls"), "keys")
+    least = mine.groupBy("key").agg(F.min("cls").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
+    star = mine.join(least, "key").where("cls <> v").groupBy("cls").agg(F.min("v").alias("root"))
+    star = stored(spark, star.join(large.drop("root"), "cls"), "stars")
+    shares = star.groupBy("root").agg(_blocks().alias("nb"))
+    salt = F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")
+    followers = star.join(shares, "root").select("root", salt.alias("k"), F.lit(1).alias("side"), "cls", "doc_id")
+    leaders = shares.join(large.select(F.col("cls").alias("root"), "doc_id"), "root").select("root", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("k"), F.lit(0).alias("side"), F.col("root").alias("cls"), "doc_id")
+    near = confirmed(followers.unionByName(leaders).select("root", (2 * F.col("k")).alias("a"), (2 * F.col("k") + 1).alias("b"), F.lit(False).alias("single"), (2 * F.col("k") + F.col("side")).alias("block"), "cls", "doc_id")).select("u", "v")
+
+    group = large.drop("root").join(components(spark, near).select(F.col("u").alias("cls"), F.col("root").alias("grp")), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    group = stored(spark, group, "groups")
+    seen = stored(spark, mine.join(group.select("cls", "grp"), "cls"), "seen")
+    undone = seen.groupBy("key").agg(F.min("cls").alias("v"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("key", "v")
+    rest = components(spark, seen.join(undone, "key").select(F.col("cls").alias("u"), "v")).withColumnRenamed("u", "cls")
+    rest = stored(spark, rest.join(group, "cls"), "rest")
+    if rest.isEmpty():
+        return near
+    # groups that fill a block have blocks of their own, numbered after those of all smaller groups together
+    apart = rest.groupBy("root", "grp").agg(_blocks().alias("nb")).select("root", "grp", F.when(F.col("nb") > 1, F.col("grp")).otherwise(F.lit(b"")).alias("own"))
+    rest = rest.join(apart, ["root", "grp"])
+    ranges = rest.groupBy("root", "own").agg(_blocks().alias("nb"))
+    each = Window.partitionBy("root")
+    before = F.sum("nb").over(each.orderBy("own").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("root", "own", "nb", F.coalesce(before, F.lit(0)).cast("int").alias("lo"), F.sum("nb").over(each).cast("int").alias("total"))
+    ranges = ranges.withColumn("hi", F.when(F.col("own") == F.lit(b""), F.col("lo")).otherwise(F.col("lo") + F.col("nb")))
+    placed = rest.join(ranges, ["root", "own"]).withColumn("block", F.col("lo") + F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    met = placed.select("root", "block", "cls", "doc_id", F.explode(F.expr("filter(sequence(0, total - 1), o -> o < lo or o >= hi)")).alias("o"))
+    met = met.select("root", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), F.lit(False).alias("single"), "block", "cls", "doc_id")
+    return near.unionByName(confirmed(met).select("u", "v"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) for every row of docs(doc_id, text, ...); text_key is the 64-bit
     hash of the text, which tells rows apart that share a doc_id.
@@ -164,8 +209,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
     2. Only classes that share some left and some right half key with another take part in the table keys. In each
        table a class is joined to the smallest class of its bucket, never to all: components of that graph are the
        candidate clusters, which hold every pair that shares a table.
-    3. In each cluster all pairs are confirmed on full sets, block pair by block pair (bounded memory; large clusters
-       spread over tasks), and only a spanning forest of the links leaves the task.
+    3. In a cluster that fits one block (bounded rows and bytes) all pairs are confirmed on full sets in one task, and
+       only a spanning forest of the links leaves it. Members of larger clusters are confirmed against a leader first,
+       then against members of their buckets that aren't connected with them yet (_large_links).
 
     Null or empty text, or text without words: empty set, linked with nothing. Rows with a null doc_id count as
     documents but can't name a component that has another id. Rows that share a doc_id are documents of their own, each
@@ -183,19 +229,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
     cluster = components(spark, keys.join(leader, "key").select(F.col("cls").alias("u"), "v"))
 
     members = stored(spark, cluster.withColumnRenamed("u", "cls").join(classes.select("cls", "doc_id", "n_bytes"), "cls"), "members")
-    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("nb"))
-    members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    members = members.join(members.groupBy("root").agg(_blocks().alias("nb")), "root")
     text = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    held = members.join(text, F.col("doc_id").eqNullSafe(F.col("d")))
-    pairs = held.select("root", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"), "nb", "block", "cls", "text").select(
-        "root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("nb") == 1).alias("single"), "block", "cls", "text"
-    )
-    pairs = pairs.repartition(partitions(spark), "root", "a", "b").sortWithinPartitions("root", "a", "b")
-    found = stored(spark, pairs.mapInArrow(_confirm(width, num, den), "u binary, v binary, single boolean"), "links")
-    small = found.where("single").select("u", F.col("v").alias("root"))
+
+    def confirmed(rows: DataFrame) -> DataFrame:
+        """The links found in rows(root, a, b, single, block, cls, doc_id)."""
+        held = rows.join(text, F.col("doc_id").eqNullSafe(F.col("d"))).select("root", "a", "b", "single", "block", "cls", "text")
+        held = held.repartition(partitions(spark), "root", "a", "b").sortWithinPartitions("root", "a", "b")
+        return stored(spark, held.mapInArrow(_confirm(width, num, den), "u binary, v binary, single boolean"), "links")
+
+    zero = F.lit(0)
+    small = confirmed(members.where("nb = 1").select("root", zero.alias("a"), zero.alias("b"), F.lit(True).alias("single"), zero.alias("block"), "cls", "doc_id"))
+    small = small.select("u", F.col("v").alias("root"))
     roots = small.unionByName(small.select(F.col("root").alias("u"), "root").distinct())
-    many = found.where("not single").select("u", "v")
-    if not many.isEmpty():
+    large = members.where("nb > 1").drop("nb")
+    if not large.isEmpty():
+        many = _large_links(spark, stored(spark, large, "large"), keys, confirmed)
         roots = roots.unionByName(components(spark, many))
     grown = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(roots.withColumnRenamed("u", "cls"), "cls", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "cls"))
     lowest = grown.groupBy("root").agg(F.min("least").alias("component_id"))

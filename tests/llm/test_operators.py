@@ -105,6 +105,36 @@ def test_near_duplicates_equal_brute_force(spark, docs, monkeypatch, num, block)
     assert sum(not w[3] for w in want) > 20
 
 
+@pytest.mark.parametrize("strays", [0, 3])
+def test_members_of_a_large_cluster_meet_one_leader(spark, monkeypatch, strays):
+    """A cluster of n near copies takes a few rows a member to confirm, not a copy of each text for every block; texts
+    that are only alike (0.7) join its buckets, not its component."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(240):
+        w = list(base)
+        w[int(rng.integers(400))] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    for k in range(strays):
+        rows.append((1000 + k, " ".join(f"y{k}" if j % 29 == k else x for j, x in enumerate(base))))
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    inner, sent = minhash._large_links, []
+
+    def counted(spark, large, keys, confirmed):
+        def confirm(rows):
+            sent.append(rows.count())
+            return confirmed(rows)
+
+        return inner(spark, large, keys, confirm)
+
+    monkeypatch.setattr(minhash, "_large_links", counted)
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(k, 0) for k in range(240)] + [(1000 + k, 1000 + k) for k in range(strays)]
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == want
+    assert sent and sum(sent) < 4 * len(rows)
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert minhash.near_duplicates(spark, empty).count() == 0
 
