@@ -97,12 +97,12 @@ def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.
 
 
 def _confirm(width: int, num: int, den: int):
-    """Rows (cluster, a, b, single, block, cls, text), in order of (cluster, a, b): a spanning forest of each block
-    pair's links. Only one block pair is held at a time."""
+    """Rows (root, a, b, block, cls, text), in order of (root, a, b): a spanning forest of the links between blocks a and
+    b (or in a, if they are one). Only one block pair is held at a time."""
 
     def solve(rows: list[tuple]) -> list[tuple]:
-        texts = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
-        bounds = np.concatenate(([0], np.cumsum([len(r[6]) for r in rows])))
+        texts = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        bounds = np.concatenate(([0], np.cumsum([len(r[5]) for r in rows])))
         values, at, ids = [], [0], []
         for i, j in slices(bounds):
             x, b = shingle_sets(*cut(texts, bounds, i, j), width)
@@ -112,30 +112,30 @@ def _confirm(width: int, num: int, den: int):
         # another row may share the doc_id, or the same row stand there twice: only one with the class's own set counts
         first: dict[bytes, int] = {}
         for k, r in enumerate(rows):
-            if ids[k] == r[5]:
-                first.setdefault(r[5], k)
+            if ids[k] == r[4]:
+                first.setdefault(r[4], k)
         keep = [first[c] for c in sorted(first)]
         if len(keep) < 2:
             return []
         all_values, at = np.concatenate(values), np.array(at)
         own = np.concatenate([all_values[at[k] : at[k + 1]] for k in keep])
         own_at = np.concatenate(([0], np.cumsum(np.diff(at)[keep])))
-        block = np.array([rows[k][4] for k in keep])
+        block = np.array([rows[k][3] for k in keep])
         a, b = rows[0][1], rows[0][2]
         left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
         if not len(left) or not len(right):
             return []
         root = _forest(links(own, own_at, left, right, num, den), left, right, len(keep))
-        cls = [rows[k][5] for k in keep]
-        return [(cls[k], cls[r], rows[0][3]) for k, r in enumerate(root.tolist()) if k != r]
+        cls = [rows[k][4] for k in keep]
+        return [(cls[k], cls[r]) for k, r in enumerate(root.tolist()) if k != r]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
 
         def pack() -> pa.RecordBatch:
-            u, v, single = zip(*out) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(single, pa.bool_())], ["u", "v", "single"])
+            u, v = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
@@ -157,44 +157,41 @@ def _blocks():
     return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
 
 
-def _large_links(spark: SparkSession, large: DataFrame, keys: DataFrame, confirmed) -> DataFrame:
-    """Links (u, v) that connect every two linked members of large(root, cls, doc_id, n_bytes) that share a table key.
+def _stars(shared: DataFrame, info: DataFrame) -> DataFrame:
+    """Every class of shared(key, cls, v) against one leader only, the smallest class v of any of its buckets: rows for
+    _confirm. A leader's followers are dealt to as many blocks as they need, each with a copy of the leader."""
+    star = shared.where("cls <> v").groupBy("cls").agg(F.min("v").alias("root")).join(info, "cls")
+    shares = star.groupBy("root").agg(_blocks().alias("nb"))
+    followers = star.join(shares, "root").select("root", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int").alias("k"), F.lit(1).alias("side"), "cls", "doc_id")
+    leaders = shares.join(info.withColumnRenamed("cls", "root"), "root").select("root", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("k"), F.lit(0).alias("side"), F.col("root").alias("cls"), "doc_id")
+    return followers.unionByName(leaders).select("root", (2 * F.col("k")).alias("a"), (2 * F.col("k") + 1).alias("b"), (2 * F.col("k") + F.col("side")).alias("block"), "cls", "doc_id")
+
+
+def _others(spark: SparkSession, shared: DataFrame, near: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows for _confirm that compare all classes of shared(key, cls, v) which share a bucket and aren't in one group yet.
 
-    Each member is first confirmed against one leader only, the smallest class of any of its buckets; that makes one
-    comparison a member and puts near copies of one text together. A bucket whose members are connected by then is
-    done. Of the others only members that aren't connected are compared, block by block: blocks of one such group
-    never meet each other.
+    A class's group is the leader that its leader (or it) was confirmed against. Buckets of one group are done; the
+    others connect their groups to clusters, and the classes that stand in them are compared block by block in each
+    cluster. Groups that fill a block have blocks of their own, which never meet each other.
     """
-    mine = stored(spark, keys.join(large.select("cls"), "cls"), "keys")
-    least = mine.groupBy("key").agg(F.min("cls").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    star = mine.join(least, "key").where("cls <> v").groupBy("cls").agg(F.min("v").alias("root"))
-    star = stored(spark, star.join(large.drop("root"), "cls"), "stars")
-    shares = star.groupBy("root").agg(_blocks().alias("nb"))
-    salt = F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")
-    followers = star.join(shares, "root").select("root", salt.alias("k"), F.lit(1).alias("side"), "cls", "doc_id")
-    leaders = shares.join(large.select(F.col("cls").alias("root"), "doc_id"), "root").select("root", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("k"), F.lit(0).alias("side"), F.col("root").alias("cls"), "doc_id")
-    near = confirmed(followers.unionByName(leaders).select("root", (2 * F.col("k")).alias("a"), (2 * F.col("k") + 1).alias("b"), F.lit(False).alias("single"), (2 * F.col("k") + F.col("side")).alias("block"), "cls", "doc_id")).select("u", "v")
-
-    group = large.drop("root").join(components(spark, near).select(F.col("u").alias("cls"), F.col("root").alias("grp")), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
-    group = stored(spark, group, "groups")
-    seen = stored(spark, mine.join(group.select("cls", "grp"), "cls"), "seen")
-    undone = seen.groupBy("key").agg(F.min("cls").alias("v"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("key", "v")
-    rest = components(spark, seen.join(undone, "key").select(F.col("cls").alias("u"), "v")).withColumnRenamed("u", "cls")
-    rest = stored(spark, rest.join(group, "cls"), "rest")
-    if rest.isEmpty():
-        return near
-    # groups that fill a block have blocks of their own, numbered after those of all smaller groups together
-    apart = rest.groupBy("root", "grp").agg(_blocks().alias("nb")).select("root", "grp", F.when(F.col("nb") > 1, F.col("grp")).otherwise(F.lit(b"")).alias("own"))
-    rest = rest.join(apart, ["root", "grp"])
-    ranges = rest.groupBy("root", "own").agg(_blocks().alias("nb"))
+    up = near.select(F.col("u").alias("cls"), F.col("v").alias("up"))
+    over = near.select(F.col("u").alias("up"), F.col("v").alias("top"))
+    group = stored(spark, up.join(over, "up", "left").select("cls", F.coalesce("top", "up").alias("grp")), "groups")
+    seen = shared.select("key", "cls").join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    undone = seen.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("key", "lo")
+    touched = stored(spark, seen.join(undone, "key").select("cls", "grp", "lo").distinct(), "touched")
+    clusters = components(spark, touched.select(F.col("grp").alias("u"), F.col("lo").alias("v"))).withColumnRenamed("u", "grp")
+    rest = stored(spark, touched.select("cls", "grp").distinct().join(clusters, "grp").join(info, "cls"), "rest")
+    # blocks are numbered within a cluster: first those of all smaller groups together, then those of each large one
+    own = rest.groupBy("root", "grp").agg(_blocks().alias("nb")).select("root", "grp", F.when(F.col("nb") > 1, F.col("grp")).otherwise(F.lit(b"")).alias("own"))
+    rest = rest.join(own, ["root", "grp"])
     each = Window.partitionBy("root")
     before = F.sum("nb").over(each.orderBy("own").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = ranges.select("root", "own", "nb", F.coalesce(before, F.lit(0)).cast("int").alias("lo"), F.sum("nb").over(each).cast("int").alias("total"))
+    ranges = rest.groupBy("root", "own").agg(_blocks().alias("nb")).select("root", "own", "nb", F.coalesce(before, F.lit(0)).cast("int").alias("lo"), F.sum("nb").over(each).cast("int").alias("total"))
     ranges = ranges.withColumn("hi", F.when(F.col("own") == F.lit(b""), F.col("lo")).otherwise(F.col("lo") + F.col("nb")))
     placed = rest.join(ranges, ["root", "own"]).withColumn("block", F.col("lo") + F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     met = placed.select("root", "block", "cls", "doc_id", F.explode(F.expr("filter(sequence(0, total - 1), o -> o < lo or o >= hi)")).alias("o"))
-    met = met.select("root", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), F.lit(False).alias("single"), "block", "cls", "doc_id")
-    return near.unionByName(confirmed(met).select("u", "v"))
+    return met.select("root", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), "block", "cls", "doc_id")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
@@ -206,12 +203,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
     smallest doc_id reachable over links.
 
     1. One pass makes set ids and half keys; equal sets become one class, so copies never meet again.
-    2. Only classes that share some left and some right half key with another take part in the table keys. In each
-       table a class is joined to the smallest class of its bucket, never to all: components of that graph are the
-       candidate clusters, which hold every pair that shares a table.
-    3. In a cluster that fits one block (bounded rows and bytes) all pairs are confirmed on full sets in one task, and
-       only a spanning forest of the links leaves it. Members of larger clusters are confirmed against a leader first,
-       then against members of their buckets that aren't connected with them yet (_large_links).
+    2. Only classes that share some left and some right half key with another take part in the table keys. Each is
+       confirmed on full sets against one leader, the smallest class of its buckets: one comparison a class, which puts
+       near copies of one text together.
+    3. Buckets whose classes are together by then are done. The classes of the others are compared, where not together
+       yet, block by block (bounded memory; large clusters spread over tasks). Only a spanning forest of the links leaves
+       a task. Every two classes that share a table are thus compared or already connected.
 
     Null or empty text, or text without words: empty set, linked with nothing. Rows with a null doc_id count as
     documents but can't name a component that has another id. Rows that share a doc_id are documents of their own, each
@@ -224,28 +221,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
     shared = half.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     alive = half.join(shared, ["g", "h"]).groupBy("cls").agg(F.max(F.col("g") < SIDE).alias("l"), F.max(F.col("g") >= SIDE).alias("r")).where("l and r").select("cls")
     left, right = F.slice("halves", 1, SIDE), F.slice("halves", SIDE + 1, SIDE)
-    keys = stored(spark, classes.join(alive, "cls").select("cls", F.explode(left).alias("l"), right.alias("rs")).select("cls", F.explode("rs").alias("r"), "l").select("cls", F.xxhash64("l", "r").alias("key")), "keys")
-    leader = keys.groupBy("key").agg(F.min("cls").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    cluster = components(spark, keys.join(leader, "key").select(F.col("cls").alias("u"), "v"))
-
-    members = stored(spark, cluster.withColumnRenamed("u", "cls").join(classes.select("cls", "doc_id", "n_bytes"), "cls"), "members")
-    members = members.join(members.groupBy("root").agg(_blocks().alias("nb")), "root")
+    sides = stored(spark, classes.join(alive, "cls").select("cls", "doc_id", "n_bytes", left.alias("l"), right.alias("rs")), "sides")
+    info = sides.select("cls", "doc_id", "n_bytes")
+    keys = sides.select("cls", F.explode("l").alias("l"), "rs").select("cls", F.explode("rs").alias("r"), "l").select("cls", F.xxhash64("l", "r").alias("key"))
+    least = keys.groupBy("key").agg(F.min("cls").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
+    shared = stored(spark, keys.join(least, "key").select("key", "cls", "v"), "shared")  # few keys have two classes
     text = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def confirmed(rows: DataFrame) -> DataFrame:
-        """The links found in rows(root, a, b, single, block, cls, doc_id)."""
-        held = rows.join(text, F.col("doc_id").eqNullSafe(F.col("d"))).select("root", "a", "b", "single", "block", "cls", "text")
+        """(u, v): links that connect what is linked in rows(root, a, b, block, cls, doc_id)."""
+        held = rows.join(text, F.col("doc_id").eqNullSafe(F.col("d"))).select("root", "a", "b", "block", "cls", "text")
         held = held.repartition(partitions(spark), "root", "a", "b").sortWithinPartitions("root", "a", "b")
-        return stored(spark, held.mapInArrow(_confirm(width, num, den), "u binary, v binary, single boolean"), "links")
-
-    zero = F.lit(0)
-    small = confirmed(members.where("nb = 1").select("root", zero.alias("a"), zero.alias("b"), F.lit(True).alias("single"), zero.alias("block"), "cls", "doc_id"))
-    small = small.select("u", F.col("v").alias("root"))
-    roots = small.unionByName(small.select(F.col("root").alias("u"), "root").distinct())
-    large = members.where("nb > 1").drop("nb")
-    if not large.isEmpty():
-        many = _large_links(spark, stored(spark, large, "large"), keys, confirmed)
-        roots = roots.unionByName(components(spark, many))
+        return stored(spark, held.mapInArrow(_confirm(width, num, den), "u binary, v binary"), "links")
+
+    near = confirmed(stored(spark, _stars(shared, info), "stars"))
+    found = confirmed(_others(spark, shared, near, info))
+    roots = components(spark, near.unionByName(found))
     grown = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(roots.withColumnRenamed("u", "cls"), "cls", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "cls"))
     lowest = grown.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grown.join(lowest, "root").select("cls", "component_id")
