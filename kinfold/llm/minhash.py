@@ -227,10 +227,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
     least = keys.groupBy("key").agg(F.min("cls").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
     shared = stored(spark, keys.join(least, "key").select("key", "cls", "v"), "shared")  # few keys have two classes
     text = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    # whole texts are shuffled once; only those of classes that may have a partner are read again
+    text = stored(spark, info.select("cls", "doc_id").join(text, F.col("doc_id").eqNullSafe(F.col("d"))).select("cls", "text"), "texts")
 
     def confirmed(rows: DataFrame) -> DataFrame:
         """(u, v): links that connect what is linked in rows(root, a, b, block, cls, doc_id)."""
-        held = rows.join(text, F.col("doc_id").eqNullSafe(F.col("d"))).select("root", "a", "b", "block", "cls", "text")
+        held = rows.join(text, "cls").select("root", "a", "b", "block", "cls", "text")
         held = held.repartition(partitions(spark), "root", "a", "b").sortWithinPartitions("root", "a", "b")
         return stored(spark, held.mapInArrow(_confirm(width, num, den), "u binary, v binary"), "links")
 

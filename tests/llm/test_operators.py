@@ -119,20 +119,22 @@ def test_members_of_a_large_cluster_meet_one_leader(spark, monkeypatch, strays):
     for k in range(strays):
         rows.append((1000 + k, " ".join(f"y{k}" if j % 29 == k else x for j, x in enumerate(base))))
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
-    inner, sent = minhash._large_links, []
+    sent = []
 
-    def counted(spark, large, keys, confirmed):
-        def confirm(rows):
+    def counted(make):
+        def run(*args):
+            rows = make(*args)
             sent.append(rows.count())
-            return confirmed(rows)
+            return rows
 
-        return inner(spark, large, keys, confirm)
+        return run
 
-    monkeypatch.setattr(minhash, "_large_links", counted)
+    for name in ("_stars", "_others"):
+        monkeypatch.setattr(minhash, name, counted(getattr(minhash, name)))
     got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     want = [(k, 0) for k in range(240)] + [(1000 + k, 1000 + k) for k in range(strays)]
     assert sorted((r.doc_id, r.component_id) for r in got.collect()) == want
-    assert sent and sum(sent) < 4 * len(rows)
+    assert len(sent) == 2 and sum(sent) < 4 * len(rows), sent
 
 
 def test_near_duplicates_of_nothing(spark, empty):
