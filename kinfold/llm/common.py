@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,9 +17,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a numpy kernel works on at a time; its scratch arrays take some 80 times as much.
 SLICE_BYTES = 1_000_000
+#: Bytes of an Arrow batch between the JVM and Python, which holds one row at least. Both sides hold batches whole.
+BATCH_BYTES = 4_000_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session take BATCH_BYTES at most; a smaller setting stays."""
+    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    lib = ctypes.CDLL(ctypes.util.find_library("c") or None)
+    return lib if hasattr(lib, "malloc_trim") else None
+
+
+def release() -> None:
+    """Hands free memory back to the system. Executors keep idle Python workers, which would hold their peak otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +80,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: its lineage is cut and a lost executor
     costs no recomputation of what came before."""
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -72,13 +100,14 @@ def blob(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of rows with at most limit bytes, or one row."""
+    """Runs [i, j) of rows with at most limit bytes, or one row. Memory that they leave free goes back after the last."""
     i, n = 0, len(bounds) - 1
     while i < n:
         j = int(np.searchsorted(bounds, bounds[i] + limit, "right")) - 1
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+    release()
 
 
 def cut(chars: np.ndarray, bounds: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
