@@ -24,8 +24,7 @@ _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of the session take BATCH_BYTES at most; a smaller setting stays."""
-    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
-    if not 0 < now <= BATCH_BYTES:
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
