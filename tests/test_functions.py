@@ -26,6 +26,21 @@ def test_core_words_and_address_words(spark):
     assert df.select(F.array_join(T.fold_address_words(F.col("w"), {"street": "st", "north": "n"}), " ")).first()[0] == "main st n x"
 
 
+def test_long_runs_and_other_scripts(spark, tmp_path):
+    import duckdb
+    import __spark_entry__ as entry
+
+    long = "1234567890123456789012"
+    texts = [long, f"a {long * 2} b 12345", "१२ 34 ٣٤٥٦٧", "９９９９９９ 123456", None, "", "0" * 45]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = entry.queries()["extract_digits_pin"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(entry.oracle_sql()["extract_digits_pin"]).fetchall())
+    whole = spark.createDataFrame([(long,), (long * 2,)], "a string").select(T.digit_groups(F.col("a")).alias("d")).collect()
+    assert [r["d"] for r in whole] == [[int(long) % 2**31], [int(long * 2) % 2**31]]
+
+
 @pytest.mark.parametrize(("address", "pin", "digits"), [("12345678", 123456, [12345678]), ("12345678 54321", 54321, [12345678, 54321]), ("Boston 02134", 2134, [2134]), ("12-11-1178, x", None, [12, 11, 1178]), ("१२ 34", None, [12, 34]), (None, None, []), ("2147483649", 214748, [1])])
 def test_numbers(spark, address, pin, digits):
     r = spark.createDataFrame([(address,)], "a string").select(T.postal_code(F.col("a")).alias("p"), T.digit_groups(F.col("a")).alias("d")).first()
