@@ -86,6 +86,17 @@ def test_validator(spark, tmp_path):
     assert "empty_file" in rules(validate.validate(spark, f"file://{tmp_path}/void", required))
 
 
+def test_every_kth_of_many_rows(spark, tmp_path):
+    n = 2_000_000  # ranges are drawn from samples of so many
+    spark.range(n).select((F.col("id") * 7919 % n).alias("id")).repartition(16).write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    want = list(range(0, n, 17))
+    assert sorted(r["id"] for r in src.every_kth(df, 17, "id").collect()) == want
+    assert sorted(r["id"] for r in src.every_kth(df, 17, "id", f"{tmp_path}/kept").collect()) == want
+    some = spark.createDataFrame([(None,), (2,), (1,), (None,)], "id long")
+    assert [r["id"] for r in src.every_kth(some, 4, "id").collect()] == [1]
+
+
 def test_ivf_recall(spark):
     v = Q.vectors(spark, TOP)
     q = v.where("id % 25 = 0")
