@@ -16,6 +16,8 @@ from kinfold.llm.kernels import SPACE, U, mix, powers, prefix_hash, span_hash, w
 LENGTH, GRAM = 400, 16
 #: Bytes that stand for a word where runs of words are compared.
 CODE = 4
+#: Words of a passage: runs of more than 50 words that stand anywhere else too.
+PASSAGE_WORDS = 51
 #: Bytes of contexts that one suffix array is made over, and contexts of one anchor value that a shard takes.
 SHARD_BYTES, SHARD_ROWS = 1_000_000, 1500
 #: Starts of one context at most, and bytes of a text that contexts are found in at a time.
@@ -381,19 +383,40 @@ def _without(text: np.ndarray, spans: list[int]) -> tuple[bytes, int, int]:
     return text[~gone].tobytes(), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        chars, bounds = blob(batch.column(1))
-        for i, j in slices(bounds, 8_000_000):
-            n_removed, n_spans, kept = [], [], []
-            for d in range(i, j):
-                text = chars[bounds[d] : bounds[d + 1]]
-                spans = batch.column(2)[d].as_py()
-                data, gone, runs = _without(text, spans) if spans else (text.tobytes(), 0, 0)
-                n_removed.append(gone)
-                n_spans.append(runs)
-                kept.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds[i : j + 1])), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["rid", "n_bytes", "n_removed", "n_spans", "kept"])
+_REMOVED = "rid long, n_bytes long, n_removed long, n_spans long, kept binary"
+_PASSAGES = "n_passages long, n_passage_bytes long, rest string"
+
+
+def _remove(count: int | None):
+    """(rid, text, spans, runs) to the columns of _REMOVED, and with a count to those of _PASSAGES: runs of count words, the bytes from
+    their first to their last word, and what is left without spans and runs, null where that is the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chars, bounds = blob(batch.column(1))
+            for i, j in slices(bounds, 8_000_000):
+                n_removed, n_spans, kept, n_passages, n_bytes, rest = [], [], [], [], [], []
+                for d in range(i, j):
+                    text = chars[bounds[d] : bounds[d + 1]]
+                    spans, runs = batch.column(2)[d].as_py() or [], batch.column(3)[d].as_py() or []
+                    data, gone, pieces = _without(text, spans) if spans else (text.tobytes(), 0, 0)
+                    n_removed.append(gone)
+                    n_spans.append(pieces)
+                    kept.append(data)
+                    if count is not None:
+                        passages = _bytes_of_runs(text, runs, count) if runs else []
+                        n_passages.append(len(passages) // 2)
+                        n_bytes.append(sum(passages[1::2]) - sum(passages[0::2]))
+                        data = _without(text, spans + passages)[0] if passages else data
+                        rest.append(data.decode("utf-8", "ignore") if spans or passages else None)
+                columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(bounds[i : j + 1])), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
+                names = ["rid", "n_bytes", "n_removed", "n_spans", "kept"]
+                if count is not None:
+                    columns += [pa.array(n_passages, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(rest, pa.string())]
+                    names += ["n_passages", "n_passage_bytes", "rest"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, count: int) -> DataFrame:
@@ -457,7 +480,15 @@ def _repeated(spark: SparkSession, text: DataFrame, length: int, coded: bool = F
     return whole.unionByName(part).groupBy("tkey").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _spans_and_runs(spark: SparkSession, docs: DataFrame, length: int, count: int | None) -> DataFrame:
+    """(tkey, spans, runs): repeated_spans() beside repeated_runs(), which are null without a count."""
+    spans = repeated_spans(spark, docs, length)
+    if count is None:
+        return spans.withColumn("runs", F.lit(None).cast("array<long>"))
+    return spans.join(repeated_runs(spark, docs, count), "tkey", "full")
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, count: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs(doc_id, text, ...): texts as UTF-8 bytes
     without each byte that a string of length bytes covers which also starts anywhere else, in the same text or another.
 
@@ -471,11 +502,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
 
     Null or empty text: no bytes, nothing removed. Each row is a document, so repeated rows are copies of one another,
     and lose all if they have length bytes. Null doc_ids pass through; columns other than doc_id and text are ignored.
+
+    With a count, passages too: maximal runs of words that are covered by runs of count words which also start anywhere
+    else, however few bytes they have. n_passages, n_passage_bytes (from the first to the last word of each) and text,
+    which is without the bytes of both, as cut_repeats() leaves it. The other columns don't depend on the count.
     """
-    spans = repeated_spans(spark, docs, length)
+    both = _spans_and_runs(spark, docs, length, count)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("tkey", F.unhex(F.md5("text")))
-    joined = own.join(spans, "tkey", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_remove, "rid long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("rid", "doc_id")
+    joined = own.join(both, "tkey", "left").select("doc_id", "text", "spans", "runs")
+    out = joined.mapInArrow(_remove(count), _REMOVED if count is None else f"{_REMOVED}, {_PASSAGES}").withColumnRenamed("rid", "doc_id")
+    return out if count is None else out.withColumn("text", F.coalesce("rest", F.col("kept").cast("string"))).drop("rest")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, count: int | None = None) -> DataFrame:
@@ -497,13 +533,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, coun
         return pd.Series([rest(*x) for x in zip(text, spans, runs)], dtype=object)
 
     key, own, at, by = fresh(docs, "_text_key", "_own_key", "_spans", "_runs")
-    spans = repeated_spans(spark, docs, length)
-    spans = spans.withColumn("runs", F.lit(None).cast("array<long>")) if count is None else spans.join(repeated_runs(spark, docs, count), "tkey", "full")
-    spans = spans.select(F.col("tkey").alias(key), F.col("spans").alias(at), F.col("runs").alias(by))
+    spans = _spans_and_runs(spark, docs, length, count).select(F.col("tkey").alias(key), F.col("spans").alias(at), F.col("runs").alias(by))
     joined = docs.withColumn(own, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(spans, F.col(own) == F.col(key), "left")
     return joined.withColumn("text", F.when(F.col(key).isNull(), F.col("text")).otherwise(left("text", at, by))).drop(key, own, at, by)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark, table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeats(spark, table(spark, sf_dir, "documents"), count=PASSAGE_WORDS)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_bytes", "text")

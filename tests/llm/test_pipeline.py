@@ -1,5 +1,6 @@
 """The pipeline's stages, each held against what its input demands."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -110,6 +111,24 @@ def test_planted_passages_go(spark, size):
     assert not caught or all(gone[k] >= len(passage) for k in range(4))
 
 
+def test_op4_tells_passages_under_400_bytes(spark, tmp_path):
+    """Besides its contract's columns, op4 has the passages of over 50 words, however short, and the text without them."""
+    rng = random.Random(11)
+    words = lambda n, k=5: " ".join("".join(rng.choice("abcdefgh\u00e4") for _ in range(k)) for _ in range(n))
+    passage, fifty, long = words(51), words(50), words(120)
+    assert len(passage.encode()) < suffixes.LENGTH
+    texts = [f"{words(30)} {passage} {words(9)}", f"{words(20)}\n{passage.replace(' ', '  ', 5)}", f"{words(8)} {fifty} {words(70)}", f"{fifty} {words(4)}", f"{long} {words(6)}", f"{words(6)}{long}", words(200), None, "", "x", f"{long} {words(3)} {passage}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffixes.op4_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    data = [(x or "").encode() for x in texts]
+    assert [got[k]["n_passages"] for k in range(len(texts))] == [1, 1, 0, 0, 1, 1, 0, 0, 0, 0, 2]
+    assert [got[k]["n_passage_bytes"] for k in (0, 1, 2)] == [len(passage.encode()), len(passage.encode()) + 5, 0]
+    assert [got[k]["text"] for k in range(len(texts))] == [x or "" for x in brute_cut(texts)]
+    assert [got[k]["n_bytes"] for k in range(len(texts))] == [len(x) for x in data]
+    assert [got[k]["n_removed"] > 0 for k in range(len(texts))] == [k in (4, 5, 10) for k in range(len(texts))]
+    assert all(got[k]["kept_sha256"] == hashlib.sha256(data[k]).hexdigest() for k in range(len(texts)) if k not in (4, 5, 10))
+
+
 def test_rows_that_share_an_id_go_by_themselves(spark):
     rng = random.Random(6)
     text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
