@@ -41,6 +41,13 @@ def pack8(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     return out
 
 
+def pack2(codes: np.ndarray) -> np.ndarray:
+    """The first two digests of every suffix as one number; the last one's second is 0."""
+    out = codes.astype(U) << U(32)
+    out[:-1] |= codes[1:]
+    return out
+
+
 def _sorted_by(high: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
     """Indices that sort by (high, low), both at most n. Where three numbers fit into a word, the words themselves are
     sorted, which takes a fraction of an indirect sort's time."""
@@ -53,23 +60,24 @@ def _sorted_by(high: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, packed first eight bytes) of many strings laid end to end; left[i] is the number of bytes
-    from i to its string's end, where its suffix ends. Equal suffixes stand in order of place.
+    """(suffixes in order, packed first eight bytes) of many strings laid end to end; left[i] is the number of symbols
+    from i to its string's end, where its suffix ends. Symbols are bytes, or words' digests of CODE bytes. Equal suffixes
+    stand in order of place.
 
-    Larsson-Sadakane refinement: suffixes are sorted by their first five bytes, then only groups that are still
-    tied are sorted again by the rank of the suffix h bytes on, for h = 5, 10, 20, ...
+    Larsson-Sadakane refinement: suffixes are sorted by their first five bytes (one digest), then only groups that are still
+    tied are sorted again by the rank of the suffix h symbols on, for h = 5, 10, 20, ... (1, 2, 4, ...)
     """
     n = len(text)
-    words = pack8(text, left)
+    words, h, rest = (pack8(text, left), 5, U(24)) if text.itemsize == 1 else (pack2(text), 1, U(32))
     # a short suffix goes before a longer one that agrees with it but for zero bytes
-    short = np.minimum(left, 5).astype(U)
+    short = np.minimum(left, h).astype(U)
     if n < 1 << 21:
-        key = (words >> U(24) << U(24)) | (short << U(21)) | np.arange(n, dtype=U)
+        key = (words >> rest << rest) | (short << U(21)) | np.arange(n, dtype=U)
         key.sort()
         order = (key & U((1 << 21) - 1)).astype(np.int64)
         key >>= U(21)
     else:
-        key = words >> U(24) << U(3) | short
+        key = words >> rest << U(3) | short
         order = np.argsort(key)
         key = key[order]
     new = np.ones(n, bool)
@@ -77,7 +85,7 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
     rank = np.empty(n, np.int64)
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = head + 1
-    h, longest = 5, int(left.max(initial=0))
+    longest = int(left.max(initial=0))
     tied = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(tied) and h < longest:
         at = order[tied]
@@ -99,10 +107,10 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def common_prefixes(text: np.ndarray, left: np.ndarray, order: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(prefix, before): for every place, the bytes that its suffix shares with the one before it in order, and that one's
+    """(prefix, before): for every place, the symbols that its suffix shares with the one before it in order, and that one's
     place (-1 for none). Kasai's rule in text order: where the preceding bytes agree, the value is one less than the
-    place before has; only the other places are compared byte by byte, eight at a time."""
-    n = len(text)
+    place before has; only the other places are compared, eight bytes at a time."""
+    n, per, bits = len(text), 8 // text.itemsize, 8 * text.itemsize
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     prev = np.maximum(before, 0)
@@ -122,12 +130,12 @@ def common_prefixes(text: np.ndarray, left: np.ndarray, order: np.ndarray, words
         inside = most > 0
         i, j = np.minimum(i, n - 1), np.minimum(j, n - 1)
         x = words[i] ^ words[j]
-        shared = np.full(len(live), 8, np.int64)
-        for k in range(7, -1, -1):
-            shared[(x >> U(56 - 8 * k)) & U(255) != 0] = k
+        shared = np.full(len(live), per, np.int64)
+        for k in range(per - 1, -1, -1):
+            shared[(x >> U(64 - bits * (k + 1))) & U((1 << bits) - 1) != 0] = k
         step = np.where(inside, np.minimum(shared, most), 0)
         size[live] += step
-        live = live[step == 8]
+        live = live[step == per]
     own = np.zeros(n, np.int64)
     own[at] = size
     last = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
@@ -135,7 +143,7 @@ def common_prefixes(text: np.ndarray, left: np.ndarray, order: np.ndarray, words
 
 
 def repeated_starts(text: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which places of the strings text[bounds[i]:bounds[i+1]] begin a string of length bytes that also begins at another."""
+    """Which places of the strings text[bounds[i]:bounds[i+1]] begin a string of length symbols that also begins at another."""
     left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(text))
     order, words = suffix_array(text, left)
     prefix, before = common_prefixes(text, left, order, words)
@@ -147,31 +155,33 @@ def repeated_starts(text: np.ndarray, bounds: np.ndarray, length: int = LENGTH)
 # ---------------------------------------------------------------- contexts
 
 
-def contexts(chars: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def contexts(chars: np.ndarray, bounds: np.ndarray, length: int = LENGTH, step: int = 1) -> tuple[np.ndarray, ...]:
     """(document, first start, last start, anchors, anchor value, hash) of each context.
 
     The anchor of a string of length bytes is its gram with the smallest hash (the first of several), so equal strings have
     equal anchors. A run of starts whose anchors have one value is a context; it spans the bytes of its strings.
+    Strings and grams start at multiples of step, of which the texts' sizes, length and GRAM are multiples.
     """
-    n = len(chars)
+    n, bounds, size, gram = len(chars) // step, bounds // step, length // step, GRAM // step
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, np.int64))
-    if n < length:
+    if n < size:
         return empty
     p = prefix_hash(chars)
-    _, down = powers(n + 1)
-    grams = mix((p[GRAM:] - p[:-GRAM]) * down[: n - GRAM + 1])
+    _, down = powers(len(chars) + 1)
+    own = p[::step]
+    grams = mix((own[gram:] - own[:-gram]) * down[::step][: n - gram + 1])
     bits = U(max(22, n.bit_length()))
     placed = (grams >> bits << bits) | np.arange(len(grams), dtype=U)
-    w = length - GRAM + 1
+    w = size - gram + 1
     padded = np.full(-(-len(placed) // w) * w + w, ~U(0), U)
     padded[: len(placed)] = placed
     square = padded.reshape(-1, w)
     ahead = np.minimum.accumulate(square, 1).ravel()
     back = np.minimum.accumulate(square[:, ::-1], 1)[:, ::-1].ravel()
-    low = np.minimum(back[: n - length + 1], ahead[w - 1 : n - length + w])
+    low = np.minimum(back[: n - size + 1], ahead[w - 1 : n - size + w])
     anchor = (low & ((U(1) << bits) - U(1))).astype(np.int64)
-    doc_of = np.repeat(np.arange(len(bounds) - 1), np.maximum(np.diff(bounds) - length + 1, 0))
-    first = np.cumsum(np.concatenate(([0], np.maximum(np.diff(bounds) - length + 1, 0))))
+    doc_of = np.repeat(np.arange(len(bounds) - 1), np.maximum(np.diff(bounds) - size + 1, 0))
+    first = np.cumsum(np.concatenate(([0], np.maximum(np.diff(bounds) - size + 1, 0))))
     start = np.arange(len(doc_of)) - first[doc_of] + bounds[doc_of]
     if not len(start):
         return empty
@@ -183,16 +193,16 @@ def contexts(chars: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tup
     new_anchor[1:] |= a[1:] != a[:-1]
     new = new_doc.copy()
     new[1:] |= value[1:] != value[:-1]
-    if len(new) > RUN:  # a periodic text would make one context of any size
+    if len(new) > RUN // step:  # a periodic text would make one context of any size
         place = np.arange(len(new))
-        new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % RUN == 0
+        new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % (RUN // step) == 0
         new_anchor |= new
     at = np.flatnonzero(new)
     end = np.append(at[1:], len(start)) - 1
     count = np.add.reduceat(new_anchor.astype(np.int64), at)
     doc, lo, hi = doc_of[at], start[at], start[end]
-    code = span_hash(p, lo, hi + length)
-    return doc, lo - bounds[doc], hi - bounds[doc], count, value[at].view(np.int64), code.view(np.int64)
+    code = span_hash(p, lo * step, hi * step + length)
+    return doc, (lo - bounds[doc]) * step, (hi - bounds[doc]) * step, count, value[at].view(np.int64), code.view(np.int64)
 
 
 def word_codes(chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,14 +224,14 @@ def _all_codes(data: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
-def _pieces(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _pieces(data: np.ndarray, at: np.ndarray, length: int, step: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
     """contexts() of some texts, or of one, a piece at a time: strings that start in one piece have their contexts there."""
     if len(at) > 2 or len(data) <= PIECE:
-        yield contexts(data, at, length)
+        yield contexts(data, at, length, step)
         return
     for i in range(0, len(data) - length + 1, PIECE):
-        part = data[i : i + PIECE + length - 1]
-        doc, lo, hi, *rest = contexts(part, np.array([0, len(part)]), length)
+        part = data[i : i + PIECE + length - step]
+        doc, lo, hi, *rest = contexts(part, np.array([0, len(part)]), length, step)
         yield doc, lo + i, hi + i, *rest
 
 
@@ -233,7 +243,7 @@ def _contexts(length: int, coded: bool):
                 data, at = cut(chars, bounds, i, j)
                 if coded:
                     data, at = word_codes(data, at) if j - i > 1 else ((x := _all_codes(data)), np.array([0, len(x)]))
-                for doc, lo, hi, count, value, code in _pieces(data, at, length):
+                for doc, lo, hi, count, value, code in _pieces(data, at, length, CODE if coded else 1):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(value), pa.array(code), pa.array(lo), pa.array(hi), pa.array(count)], ["tkey", "fp", "code", "lo", "hi", "anchors"])
 
     return run
@@ -270,9 +280,9 @@ def _fetch(length: int, coded: bool):
 _SHARD = "fp long, code long, spans array<long>, salt int, salts int, part int, data binary"
 
 
-def _spans(hit: np.ndarray, length: int) -> list[int]:
-    """Starts and ends of the bytes that strings at the hits cover, one after the other."""
-    at = np.flatnonzero(hit)
+def _spans(hit: np.ndarray, length: int, step: int = 1) -> list[int]:
+    """Starts and ends of the bytes that strings at the hits, step bytes apart, cover, one after the other."""
+    at = np.flatnonzero(hit) * step
     if not len(at):
         return []
     gap = np.flatnonzero(np.diff(at) > length)
@@ -300,7 +310,7 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tupl
         yield held
 
 
-def _shard(length: int):
+def _shard(length: int, step: int):
     """A suffix array over each lot; spans of each context, and where other shards have contexts with the same anchor value,
     its bytes, and digests of the shard's distinct strings in parts."""
 
@@ -308,9 +318,9 @@ def _shard(length: int):
         for rows in _groups(batches, SHARD_BYTES):
             bounds = np.concatenate(([0], np.cumsum([len(r[4]) for r in rows])))
             text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-            sizes = np.diff(bounds) - length + 1
+            sizes = (np.diff(bounds) - length) // step + 1
             owner = np.repeat(np.arange(len(rows)), sizes)
-            at = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner] + bounds[owner]
+            at = (np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]) * step + bounds[owner]
             own = span_hash(prefix_hash(text), at, at + length)
             # contexts none of whose strings' digests recurs need no suffix array
             by = np.sort(own)
@@ -320,9 +330,9 @@ def _shard(length: int):
             spans: dict[int, list[int]] = {}
             if len(held):
                 parts = [rows[k][4] for k in held.tolist()]
-                cuts = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-                hit = repeated_starts(np.frombuffer(b"".join(parts), np.uint8), cuts, length)
-                spans = {k: _spans(hit[cuts[q] : cuts[q + 1]], length) for q, k in enumerate(held.tolist())}
+                cuts = np.concatenate(([0], np.cumsum([len(x) for x in parts]))) // step
+                hit = repeated_starts(np.frombuffer(b"".join(parts), np.uint8 if step == 1 else np.uint32), cuts, length // step)
+                spans = {k: _spans(hit[cuts[q] : cuts[q + 1]], length, step) for q, k in enumerate(held.tolist())}
             out = [(r[0], r[1], spans.get(k, []), r[2], r[3], None, r[4] if r[3] > 1 else None) for k, r in enumerate(rows)]
             shared: dict[tuple, list[np.ndarray]] = {}
             if any(r[3] > 1 for r in rows):
@@ -359,16 +369,16 @@ def _merge(key, pdf):
     return pd.DataFrame([r for r in rows if r[2]], columns=["fp", "salt", "digests"])
 
 
-def _lookup(length: int):
+def _lookup(length: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for fp, code, data, digests in zip(*(c.to_pylist() for c in batch.columns)):
                 text = np.frombuffer(data, np.uint8)
                 known = np.sort(np.frombuffer(b"".join(digests), U))
-                at = np.arange(len(text) - length + 1)
+                at = np.arange(0, len(text) - length + 1, step)
                 own = span_hash(prefix_hash(text), at, at + length)
-                out.append((fp, code, _spans(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own, length)))
+                out.append((fp, code, _spans(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own, length, step)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["fp", "code", "spans"])
 
     return run
@@ -466,13 +476,13 @@ def _repeated(spark: SparkSession, text: DataFrame, length: int, coded: bool = F
     wanted = wanted.groupBy("tkey").agg(F.collect_list("w").alias("wanted"))  # no more than a text has contexts
     rows = text.join(wanted, "tkey").select("text", "tkey", "wanted").mapInArrow(_fetch(length, coded), "fp long, code long, salt int, salts int, data binary")
     shards = rows.repartition(partitions(spark), "fp", "salt").sortWithinPartitions("fp", "salt", "code")
-    done = stored(spark, shards.mapInArrow(_shard(length), _SHARD), "shards")
+    done = stored(spark, shards.mapInArrow(_shard(length, CODE if coded else 1), _SHARD), "shards")
     spans = done.where("code is not null").select("fp", "code", "spans")
     lists = done.where("code is null").select("fp", "salt", "part", F.col("data").alias("digests"))
     if not lists.isEmpty():
         twice = lists.groupBy("fp", "part").applyInPandas(_merge, "fp long, salt int, digests binary").groupBy("fp", "salt").agg(F.collect_list("digests").alias("digests"))
         again = done.where("code is not null and salts > 1").join(twice, ["fp", "salt"]).select("fp", "code", "data", "digests")
-        spans = spans.unionByName(again.mapInArrow(_lookup(length), "fp long, code long, spans array<long>"))
+        spans = spans.unionByName(again.mapInArrow(_lookup(length, CODE if coded else 1), "fp long, code long, spans array<long>"))
     spans = spans.where(F.size("spans") > 0)
     place = live.select("tkey", "fp", "code", "lo", "hi").distinct()
     whole = place.join(classes.where("n > 1").select("fp", "code"), ["fp", "code"]).select("tkey", F.array("lo", F.col("hi") + length).alias("s"))
